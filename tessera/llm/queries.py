@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import licenses, mixing, neardup, quality, secrets, sharding
+from tessera.llm import licenses, mixing, neardup, pieces, quality, secrets, sharding, warc
+from tessera.llm.common import fresh_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -38,8 +43,16 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to monolithic archives, those to a member a record, and these read back."""
+    mono = warc.write_monolithic(table(spark, sf_dir, "pages"), fresh_dir(spark, "warc-mono"))
+    archives = fresh_dir(spark, "warc")
+    warc.normalise(spark, mono, archives)
+    return warc.read(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset", "length")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_license_scan, op5_shard_documents, op6_simhash_dedup, op7_quality_rules, op8_mix_sources, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sentencepiece, op3_license_scan, op5_shard_documents, op6_simhash_dedup, op7_quality_rules, op8_mix_sources, op9_warc, op10_secret_scan)}
