@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import licenses, mixing, neardup, pieces, quality, secrets, sharding, warc
+from tessera.llm import kneser_ney, licenses, mixing, neardup, pieces, quality, secrets, sharding, topk, warc
 from tessera.llm.common import fresh_dir
 
 
@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integers(table(spark, sf_dir, "embeddings"))
+    got = topk.top_k(vectors, vectors.where("id % 50 = 0"), k=5)
+    return got.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"))
 
@@ -23,6 +29,15 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 7
+    model = kneser_ney.train(docs.where(fold != 2))
+    got = kneser_ney.score(docs, model)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    return got.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op5_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return got.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -55,4 +70,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sentencepiece, op3_license_scan, op5_shard_documents, op6_simhash_dedup, op7_quality_rules, op8_mix_sources, op9_warc, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_maxscore_topk, op2_sentencepiece, op3_license_scan, op4_kneser_ney, op5_shard_documents, op6_simhash_dedup, op7_quality_rules, op8_mix_sources, op9_warc, op10_secret_scan)}
