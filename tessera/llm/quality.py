@@ -104,5 +104,11 @@ def judge(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -
 
 
 def clean(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
-    """The kept documents, with the cleaned text in place of `text` and the columns of `docs`."""
-    return judge(docs, rules, text).where("q_kept").select(*[F.col("q_text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if not c.startswith("q_") or c == text])
+    """The kept documents, with the cleaned text in place of `text` and the columns of `docs`.
+
+    The row number keeps the optimizer from moving the filter below the projections, where every
+    reference to a column would compute it again.
+    """
+    names = [c for c in docs.columns if not c.startswith("q_") or c == text]
+    judged = judge(docs, rules, text).withColumn("q_row", F.monotonically_increasing_id())
+    return judged.where((F.col("q_row") >= 0) & F.col("q_kept")).select(*[F.col("q_text").alias(c) if c == text else F.col(f"`{c}`") for c in names])

@@ -64,14 +64,16 @@ def search(index: dict, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray
     mine = slice(*np.searchsorted(ids, [own, own + 1]))
     score[mine] = FAR
     m, alive = len(at), None
+    least_of = lambda x: min(x[: mine.start].min(initial=0), x[mine.stop :].min(initial=0))
     for j in range(m):
         a, b = start[at[j]], start[at[j] + 1]
         if alive is None:  # essential: traverse
             if b - a == n:
-                score += q[j] * weight[a:b].astype(np.int64)
+                score += q[j] * weight[a:b]
             else:
-                score[row[a:b]] += q[j] * weight[a:b].astype(np.int64)
-            if n > 4 * k and (j % 4 == 3 or j > m - 4):
+                score[row[a:b]] += q[j] * weight[a:b]
+            # nothing can fall off while the terms to come can add more than the scores are apart
+            if n > 4 * k and j % 2 and more[j + 1] - less[j + 1] < score.max() - least_of(score):
                 bound = np.partition(score, n - k)[n - k] + less[j + 1]
                 near = score + more[j + 1] >= bound
                 # the rest is non-essential once what it can add leaves few rows competitive
@@ -80,12 +82,12 @@ def search(index: dict, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray
                     part = score[alive]
         else:  # probe
             if b - a == n:
-                part = part + q[j] * weight[a:b][alive].astype(np.int64)
+                part = part + q[j] * weight[a:b][alive]
             else:
                 spot = np.searchsorted(row[a:b], alive)
                 hit = np.flatnonzero(spot < b - a)
                 hit = hit[row[a:b][spot[hit]] == alive[hit]]
-                part[hit] += q[j] * weight[a:b][spot[hit]].astype(np.int64)
+                part[hit] += q[j] * weight[a:b][spot[hit]]
             if len(alive) > 4 * k and j % 4 == 3:
                 bound = np.partition(part, len(part) - k)[len(part) - k] + less[j + 1]
                 near = part + more[j + 1] >= bound
