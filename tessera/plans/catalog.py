@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from tessera.plans import evaluation, retrieval, structure, tables, texts
+
+_PARTS = (texts, structure, retrieval, evaluation, tables)
+QUERIES: dict = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+SQL: dict = {k: v for p in _PARTS for k, v in p.SQL.items()}
