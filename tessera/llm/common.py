@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -36,6 +37,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def slices(batches: Iterator, rows: int = 512) -> Iterator:
+    """Arrow batches in pieces of `rows`, so that what a worker makes of them stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def without(text: Column, chars) -> Column:
     """`text` without the given single characters; each is a plain byte search, with no regex."""
     for c in chars:

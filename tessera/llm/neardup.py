@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, slices
 
 BYTES, BITS = 8, 4
 #: Shared positional bytes that a pair within BITS has at least.
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
     """(key long, fp long): the fingerprint's bits as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = np.array([fingerprint(x.as_py(), shingle, seed) for x in b.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64))], ["key", "fp"])
 

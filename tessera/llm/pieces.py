@@ -7,7 +7,7 @@ to bytes, so every segmentation decodes to the text it came from. dropout 0 give
 
 A text is cut where no piece of the vocabulary can reach across (before blanks, around line ends); the units
 are encoded apart. Each unit's place in a text picks one of `variants` draws by a hash of (seed, document,
-place), so that a worker can keep what it has encoded: a bounded table that is emptied when full.
+place), so that a worker can keep what it has encoded: two bounded tables, of which the older goes when the newer is full.
 
 A null text has no ids and decodes to the empty text; an empty text has none either; rows are encoded apart,
 repeated ones alike; a literal U+2581 becomes bytes, so it isn't read as a blank.
@@ -17,17 +17,22 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from tessera.llm.common import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 _M = (1 << 64) - 1
+#: Longest units whose agendas move together; longer ones go one by one.
+SHORT = 48
 
 
 def mix(x: int) -> int:
@@ -48,7 +53,7 @@ class Dropout:
     rate: float = 0.1
     seed: int = 1
     variants: int = 8
-    cached: int = 600_000
+    cached: int = 800_000
 
 
 def load(path: str = MODEL) -> list[tuple[str, float, bool]]:
@@ -60,19 +65,59 @@ def load(path: str = MODEL) -> list[tuple[str, float, bool]]:
     return [("" if odd(i) else p.id_to_piece(i), p.get_score(i), p.is_byte(i)) for i in range(p.get_piece_size())]
 
 
+class Pairs:
+    """An open-addressed table from two symbols to the rank of what they merge to."""
+
+    BITS, NONE = 20, np.int32(2**31 - 1)
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray) -> None:
+        self.keys, self.ranks = np.full(1 << self.BITS, -1, np.int64), np.full(1 << self.BITS, self.NONE, np.int32)
+        for key, r in zip((left.astype(np.int64) << 20 | right).tolist(), rank.tolist(), strict=True):
+            at = (key * 0x9E3779B97F4A7C15 & _M) >> 64 - self.BITS
+            while self.keys[at] >= 0:
+                at = at + 1 & (1 << self.BITS) - 1
+            self.keys[at], self.ranks[at] = key, r
+
+    def look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks; NONE for pairs that don't merge or hold a negative symbol."""
+        key = left.astype(np.int64) << 20 | right
+        key[(left < 0) | (right < 0)] = -2
+        at = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        found = self.keys[at]
+        out = self.ranks[at]
+        out[found != key] = self.NONE
+        left_over = np.flatnonzero((found != key) & (found >= 0))
+        while len(left_over):
+            at[left_over] = at[left_over] + 1 & (1 << self.BITS) - 1
+            found = self.keys[at[left_over]]
+            hit = found == key[left_over]
+            out[left_over[hit]] = self.ranks[at[left_over[hit]]]
+            left_over = left_over[~hit & (found >= 0)]
+        return out
+
+
 @dataclass
 class Encoder:
     vocab: list[tuple[str, float, bool]]
     dropout: Dropout = Dropout()
-    ids: dict[str, int] = field(init=False)
-    known: list[dict[str, bytes]] = field(init=False)
 
     def __post_init__(self) -> None:
         self.ids = {p: i for i, (p, _, byte) in enumerate(self.vocab) if p and not byte}
-        self.none = (float("inf"), 0)
-        self.rank = {p: (-self.vocab[i][1], i) for p, i in self.ids.items() if len(p) > 1}
-        self.keys = [mix(self.dropout.seed * 0x9E3779B97F4A7C15 + k & _M) for k in range(self.dropout.variants)]
-        self.score = [s for _, s, _ in self.vocab]
+        order = sorted((i for p, i in self.ids.items() if len(p) > 1), key=lambda i: (-self.vocab[i][1], i))
+        self.rank = {self.vocab[i][0]: r for r, i in enumerate(order)}
+        self.merged = np.array(order, np.int32)
+        # symbols are the pieces, and characters of pieces that are none themselves
+        symbols = dict(self.ids)
+        for c in sorted({c for p in self.ids for c in p}):
+            symbols.setdefault(c, len(self.vocab) + len(symbols))
+        pairs = [(symbols[p[:i]], symbols[p[i:]], r) for p, r in self.rank.items() for i in range(1, len(p)) if p[:i] in symbols and p[i:] in symbols]
+        self.pairs = Pairs(*(np.array(x, np.int64) for x in zip(*pairs, strict=True)))
+        self.char = np.full(0x110000, -1, np.int32)
+        for c, i in symbols.items():
+            if len(c) == 1:
+                self.char[ord(c)] = i
+        # a blank is the block sign's symbol, a literal block sign none
+        self.char[ord(" ")], self.char[ord(BLANK)] = self.char[ord(BLANK)], -1
         self.byte = [0] * 256
         for i, (p, _, byte) in enumerate(self.vocab):
             if byte:
@@ -82,58 +127,102 @@ class Encoder:
         lines = any("\n" in p for p in self.ids if len(p) > 1)
         # a unit: blanks and what follows up to the next blank; the whole text where pieces reach across blanks
         self.unit = re.compile(r"(?s).+" if inner else r" *[^ ]+| +" if lines else r"\n| *[^ \n]+| +")
-        self.limit = int(self.dropout.rate * 2**64)
-        self.known, self.size = [{} for _ in range(self.dropout.variants)], 0
-
-    def _short(self, unit: str, variant: int) -> bytes:
-        """`one` for short units: the agenda is a list in order of place, whose least entry comes up."""
-        from xxhash import xxh64_intdigest
-
-        rank, limit, none = self.rank.get, self.limit, self.none
-        key = xxh64_intdigest(unit.encode(), self.keys[variant]) | 1
-        text = list(unit.replace(" ", BLANK))
-        at = list(range(len(text)))
-        agenda = [rank(a + b, none) for a, b in zip(text, text[1:], strict=False)]
-        while agenda and (best := min(agenda)) != none:
-            i = agenda.index(best)
-            both = text[i] + text[i + 1]
-            if limit and ((at[i] << 40 | len(both) << 20 | best[1]) * key + (key >> 1) & _M) < limit:
-                agenda[i] = none
-                continue
-            text[i] = both
-            del text[i + 1], at[i + 1], agenda[i]
-            if i < len(agenda):
-                agenda[i] = rank(both + text[i + 1], none)
-            if i:
-                agenda[i - 1] = rank(text[i - 1] + both, none)
-        out = []
-        for x in text:
-            p = self.ids.get(x)
-            if p is None:
-                out += [self.byte[b] for b in x.replace(BLANK, " ").encode()]
+        self.limit = min(int(self.dropout.rate * 2**64), _M)
+        self.keys = [mix(self.dropout.seed * 0x9E3779B97F4A7C15 + k & _M) for k in range(self.dropout.variants if self.limit else 1)]
+        self.fresh, self.old = [{} for _ in self.keys], [{} for _ in self.keys]
+
+    def many(self, units: list[str], variants: list[int]) -> list[bytes]:
+        """The ids of units under variants, as packed 32-bit numbers; all agendas move a step at a time."""
+        out: list[bytes] = [b""] * len(units)
+        by_size: dict[int, list[int]] = {}
+        for n, u in enumerate(units):
+            if len(u) > SHORT:
+                out[n] = self.one(u, variants[n])
             else:
-                out.append(p)
-        return np.array(out, np.int32).tobytes()
+                by_size.setdefault(max(4, len(u) + 3 & ~3), []).append(n)
+        for width, rows in by_size.items():
+            for i in range(0, len(rows), 1 << 16):
+                self._step(width, rows[i : i + (1 << 16)], units, variants, out)
+        return out
+
+    def _step(self, width: int, rows: list[int], units: list[str], variants: list[int], out: list[bytes]) -> None:
+        none, look, cols = Pairs.NONE, self.pairs.look, width + 2
+        texts = [units[n] for n in rows]
+        points = np.frombuffer("".join([u.ljust(width, "\0") for u in texts]).encode("utf-32-le"), np.uint32).reshape(-1, width)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        # a column of nothing on either side, so that neighbours are always there
+        sym = np.full((len(rows), cols), -2, np.int32)
+        sym[:, 1:-1] = np.where(np.arange(width) < size[:, None], self.char[points], -2)
+        rank = np.full((len(rows), cols), none, np.int32)
+        rank[:, 1:-2] = look(sym[:, 1:-2].ravel(), sym[:, 2:-1].ravel()).reshape(len(rows), width - 1)
+        after = np.tile(np.arange(1, cols + 1, dtype=np.int32), (len(rows), 1))
+        ahead = np.tile(np.arange(-1, cols - 1, dtype=np.int32), (len(rows), 1))
+        limit, merged = np.uint64(self.limit), self.merged
+        key = np.array([xxh64_intdigest(u.encode(), self.keys[variants[n]]) | 1 for n, u in zip(rows, texts, strict=True)], np.uint64) if self.limit else np.ones(len(rows), np.uint64)
+        half, number = key >> np.uint64(1), np.arange(len(rows))
+        done = [None] * len(rows)
+
+        def finish(which: np.ndarray) -> None:
+            part = sym[which]
+            flat = part[part != -2]
+            ends = np.cumsum((part != -2).sum(1))
+            if (flat < 0).any() or (flat >= len(self.vocab)).any():
+                for r, n in zip(which, number[which], strict=True):
+                    done[n] = self.one(texts[n], variants[rows[n]]) if ((sym[r] == -1) | (sym[r] >= len(self.vocab))).any() else sym[r][sym[r] != -2].tobytes()
+                return
+            data = flat.tobytes()
+            for n, a, b in zip(number[which].tolist(), np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+                done[n] = data[4 * a : 4 * b]
+
+        while len(number):
+            best = rank.argmin(1)
+            low = rank[np.arange(len(rank)), best]
+            rest = low != none
+            if rest.mean() < 0.75:
+                finish(np.flatnonzero(~rest))
+                sym, rank, after, ahead, key, half, number, best, low = (x[rest] for x in (sym, rank, after, ahead, key, half, number, best, low))
+                if not len(number):
+                    break
+                act = np.arange(len(number))
+            else:
+                act = np.flatnonzero(rest)
+                best, low = best[act], low[act]
+            s, r, nx, pv = sym.reshape(-1), rank.reshape(-1), after.reshape(-1), ahead.reshape(-1)
+            base = act * cols
+            at = base + best
+            right = base + nx[at]
+            far = nx[right]
+            if limit:
+                candidate = (best.astype(np.uint64) - np.uint64(1)) << np.uint64(40) | (far - best).astype(np.uint64) << np.uint64(20) | low.astype(np.uint64)
+                skip = candidate * key[act] + half[act] < limit
+                r[at[skip]] = none
+                go = ~skip
+                base, at, right, far, best, low = base[go], at[go], right[go], far[go], best[go], low[go]
+            s[at] = merged[low]
+            s[right], r[right] = -2, none
+            nx[at] = far
+            pv[base + far] = best
+            r[at] = look(s[at], s[base + far])
+            left = base + pv[at]
+            r[left] = look(s[left], s[at])
+        for n, x in zip(rows, done, strict=True):
+            out[n] = x
 
     def one(self, unit: str, variant: int) -> bytes:
-        """A unit's ids as packed 32-bit numbers."""
-        from xxhash import xxh64_intdigest
-
-        if len(unit) <= 48 and BLANK not in unit:
-            return self._short(unit, variant)
+        """A unit's ids as packed 32-bit numbers; `many` gives the same for many units at a time."""
         # a literal block sign can't merge: it stands as an empty symbol until bytes are made of it
         text = ["" if c == BLANK else BLANK if c == " " else c for c in unit]
-        ids, score, limit = self.ids, self.score, self.limit
+        rank, limit = self.rank, self.limit
         key = xxh64_intdigest(unit.encode(), self.keys[variant]) | 1
         n = len(text)
         after, ahead = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = []
         for i in range(n - 1):
-            if text[i] and text[i + 1] and (p := ids.get(text[i] + text[i + 1])) is not None:
-                agenda.append((-score[p], i, i + 1, p, 2))
+            if text[i] and text[i + 1] and (p := rank.get(text[i] + text[i + 1])) is not None:
+                agenda.append((p, i, i + 1, 2))
         heapify(agenda)
         while agenda:
-            _, i, j, p, size = heappop(agenda)
+            p, i, j, size = heappop(agenda)
             if not text[i] or after[i] != j or len(text[i]) + len(text[j]) != size or not text[j]:
                 continue
             if limit and ((i << 40 | size << 20 | p) * key + (key >> 1) & _M) < limit:
@@ -143,15 +232,15 @@ class Encoder:
             k = after[i] = after[j]
             if k < n:
                 ahead[k] = i
-                if text[k] and (q := ids.get(text[i] + text[k])) is not None:
-                    heappush(agenda, (-score[q], i, k, q, len(text[i]) + len(text[k])))
+                if text[k] and (q := rank.get(text[i] + text[k])) is not None:
+                    heappush(agenda, (q, i, k, len(text[i]) + len(text[k])))
             h = ahead[i]
-            if h >= 0 and text[h] and (q := ids.get(text[h] + text[i])) is not None:
-                heappush(agenda, (-score[q], h, i, q, len(text[h]) + len(text[i])))
+            if h >= 0 and text[h] and (q := rank.get(text[h] + text[i])) is not None:
+                heappush(agenda, (q, h, i, len(text[h]) + len(text[i])))
         out, i = [], 0
         while i < n:
             piece = text[i] or BLANK
-            p = ids.get(text[i]) if text[i] else None
+            p = self.ids.get(text[i]) if text[i] else None
             if p is not None:
                 out.append(p)
             else:
@@ -159,31 +248,36 @@ class Encoder:
             i = after[i]
         return np.array(out, np.int32).tobytes()
 
+    def encode_all(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray]:
+        """The ids of texts; a key is its document's, so that equal words are cut unlike in different texts."""
+        v, seed = np.uint64(len(self.keys)), self.dropout.seed * 0x9E3779B97F4A7C15
+        if sum(map(len, self.fresh)) > self.dropout.cached // 2:
+            self.old, self.fresh = self.fresh, [{} for _ in self.keys]
+        fresh, rows, lost = self.fresh, [], set()
+        for t, key in zip(texts, keys, strict=True):
+            units = self.unit.findall(" " + t) if t else []
+            base = np.uint64(mix((seed ^ mix(key & _M)) & _M))
+            which = (mixed(np.arange(len(units), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + base) % v).tolist()
+            got = [fresh[k].get(u) for u, k in zip(units, which, strict=True)]
+            holes = [(i, units[i], which[i]) for i, x in enumerate(got) if x is None]
+            lost.update([x[1:] for x in holes])
+            rows.append((got, holes))
+        ask = []
+        for u, k in lost:
+            ids = self.old[k].get(u)
+            if ids is None:
+                ask.append((u, k))
+            else:
+                fresh[k][u] = ids
+        for (u, k), ids in zip(ask, self.many([u for u, _ in ask], [k for _, k in ask]), strict=True):
+            fresh[k][u] = ids
+        for got, holes in rows:
+            for i, u, k in holes:
+                got[i] = fresh[k][u]
+        return [np.frombuffer(b"".join(got), np.int32) for got, _ in rows]
+
     def encode(self, text: str | None, key: int = 0) -> np.ndarray:
-        """The ids of a text; `key` is the document's, so that equal words are cut unlike in different texts."""
-        if not text:
-            return np.zeros(0, np.int32)
-        units = self.unit.findall(" " + text)
-        v = self.dropout.variants
-        if self.limit and v > 1:
-            base = mix(self.dropout.seed * 0x9E3779B97F4A7C15 ^ mix(key & _M) & _M)
-            which = (mixed(np.arange(len(units), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(base)) % np.uint64(v)).tolist()
-        else:
-            which = [0] * len(units)
-        out, known = [], self.known
-        for u, k in zip(units, which, strict=True):
-            got = known[k].get(u)
-            if got is None:
-                got = self.one(u, k)
-                if len(u) <= 64:
-                    self.size += 1
-                    if self.size > self.dropout.cached:
-                        for x in known:
-                            x.clear()
-                        self.size = 1
-                    known[k][u] = got
-            out.append(got)
-        return np.frombuffer(b"".join(out), np.int32)
+        return self.encode_all([text], [key])[0]
 
     def decode(self, ids) -> str:
         return b"".join(map(self.raw.__getitem__, ids)).decode()[1:]
@@ -211,17 +305,13 @@ def encoded(docs: DataFrame, dropout: Dropout = Dropout(), model: str = MODEL, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(vocab, dropout)
-        for b in batches:
-            ids, same, sizes = [], [], [0]
-            for k, t in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-                t = t.as_py() or ""
-                got = e.encode(t, k or 0)
-                same.append(e.decode(got.tolist()) == t)
-                ids.append(got)
-                sizes.append(sizes[-1] + len(got))
-            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-            n = pa.array(np.diff(np.array(sizes)), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), n, pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat), pa.array(same)], ["key", "n_tokens", "ids", "lossless"])
+        for b in slices(batches, 1024):
+            texts = [t or "" for t in b.column(2).to_pylist()]
+            ids = e.encode_all(texts, [k or 0 for k in b.column(1).to_pylist()])
+            same = pa.array([e.decode(i.tolist()) == t for i, t in zip(ids, texts, strict=True)])
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), lists, same], ["key", "n_tokens", "ids", "lossless"])
 
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{key}`").cast("string")).alias("salt"), F.col(f"`{text}`").alias("text"))
     return rows.mapInArrow(run, f"key {kind}, n_tokens long, ids array<int>, lossless boolean").withColumnRenamed("key", key)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import slices
+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 #: One of these is in each match of ASSIGN, in lower case.
@@ -131,7 +133,7 @@ def scan(docs: DataFrame, ratio: Ratio | None = None, text: str = "text", key: s
     ratio = ratio or train(sample())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = spans([x or "" for x in b.column(1).to_pylist()], ratio)
             counts = [pa.array([sum(k == x for _, k, _ in f) for f in found], pa.int64()) for x in range(4)]
             base = [hashlib.sha256(named([x for x in f if x[1] < 3]).encode()).hexdigest() for f in found]
@@ -157,7 +159,7 @@ def redact(docs: DataFrame, ratio: Ratio | None = None, text: str = "text", mark
         return "".join([*out, x[end:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(at).to_pylist()
             found = spans([x or "" for x in texts], ratio)
             new = pa.array([hide(x, f) if f else x for x, f in zip(texts, found, strict=True)], b.schema.field(at).type)
