@@ -7,7 +7,7 @@ to bytes, so every segmentation decodes to the text it came from. dropout 0 give
 
 A text is cut where no piece of the vocabulary can reach across (before blanks, around line ends); the units
 are encoded apart. Each unit's place in a text picks one of `variants` draws by a hash of (seed, document,
-place), so that a worker can keep what it has encoded: two bounded tables, of which the older goes when the newer is full.
+place), so that a worker can keep the ids of `cached` units, and forgets them all when there are more.
 
 A null text has no ids and decodes to the empty text; an empty text has none either; rows are encoded apart,
 repeated ones alike; a literal U+2581 becomes bytes, so it isn't read as a blank.
@@ -53,7 +53,7 @@ class Dropout:
     rate: float = 0.1
     seed: int = 1
     variants: int = 8
-    cached: int = 800_000
+    cached: int = 500_000
 
 
 def load(path: str = MODEL) -> list[tuple[str, float, bool]]:
@@ -96,6 +96,18 @@ class Pairs:
         return out
 
 
+class Units(dict):
+    """Numbers of units, given as they are asked for."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        out = self[unit] = len(self.names)
+        self.names.append(unit)
+        return out
+
+
 @dataclass
 class Encoder:
     vocab: list[tuple[str, float, bool]]
@@ -129,7 +141,12 @@ class Encoder:
         self.unit = re.compile(r"(?s).+" if inner else r" *[^ ]+| +" if lines else r"\n| *[^ \n]+| +")
         self.limit = min(int(self.dropout.rate * 2**64), _M)
         self.keys = [mix(self.dropout.seed * 0x9E3779B97F4A7C15 + k & _M) for k in range(self.dropout.variants if self.limit else 1)]
-        self.fresh, self.old = [{} for _ in self.keys], [{} for _ in self.keys]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empties what is kept: the units' numbers, and by number and variant where in `data` its ids are."""
+        self.known, self.used = Units(), 0
+        self.start, self.size, self.data = np.zeros(1 << 16, np.int64), np.full(1 << 16, -1, np.int32), np.zeros(1 << 16, np.int32)
 
     def many(self, units: list[str], variants: list[int]) -> list[bytes]:
         """The ids of units under variants, as packed 32-bit numbers; all agendas move a step at a time."""
@@ -250,31 +267,35 @@ class Encoder:
 
     def encode_all(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray]:
         """The ids of texts; a key is its document's, so that equal words are cut unlike in different texts."""
-        v, seed = np.uint64(len(self.keys)), self.dropout.seed * 0x9E3779B97F4A7C15
-        if sum(map(len, self.fresh)) > self.dropout.cached // 2:
-            self.old, self.fresh = self.fresh, [{} for _ in self.keys]
-        fresh, rows, lost = self.fresh, [], set()
+        v, seed = len(self.keys), self.dropout.seed * 0x9E3779B97F4A7C15
+        if len(self.known) > self.dropout.cached:
+            self._forget()
+        units, ends, which = [], [0], [np.zeros(0, np.int64)]
         for t, key in zip(texts, keys, strict=True):
-            units = self.unit.findall(" " + t) if t else []
-            base = np.uint64(mix((seed ^ mix(key & _M)) & _M))
-            which = (mixed(np.arange(len(units), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + base) % v).tolist()
-            got = [fresh[k].get(u) for u, k in zip(units, which, strict=True)]
-            holes = [(i, units[i], which[i]) for i, x in enumerate(got) if x is None]
-            lost.update([x[1:] for x in holes])
-            rows.append((got, holes))
-        ask = []
-        for u, k in lost:
-            ids = self.old[k].get(u)
-            if ids is None:
-                ask.append((u, k))
-            else:
-                fresh[k][u] = ids
-        for (u, k), ids in zip(ask, self.many([u for u, _ in ask], [k for _, k in ask]), strict=True):
-            fresh[k][u] = ids
-        for got, holes in rows:
-            for i, u, k in holes:
-                got[i] = fresh[k][u]
-        return [np.frombuffer(b"".join(got), np.int32) for got, _ in rows]
+            if t:
+                units += self.unit.findall(" " + t)
+            n, base = len(units) - ends[-1], np.uint64(mix((seed ^ mix(key & _M)) & _M))
+            which.append((mixed(np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + base) % np.uint64(v)).astype(np.int64))
+            ends.append(len(units))
+        slot = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units)) * v + np.concatenate(which)
+        if (more := len(self.known) * v - len(self.size)) > 0:
+            more = max(more, len(self.size))
+            self.start, self.size = np.r_[self.start, np.zeros(more, np.int64)], np.r_[self.size, np.full(more, -1, np.int32)]
+        todo = np.unique(slot[self.size[slot] < 0])
+        if len(todo):
+            got = self.many([self.known.names[i] for i in (todo // v).tolist()], (todo % v).tolist())
+            new = np.frombuffer(b"".join(got), np.int32)
+            size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+            if self.used + len(new) > len(self.data):
+                self.data = np.r_[self.data, np.zeros(max(len(new), len(self.data)), np.int32)]
+            self.data[self.used : self.used + len(new)] = new
+            self.start[todo], self.size[todo] = self.used + np.cumsum(size) - size, size
+            self.used += len(new)
+        size = self.size[slot].astype(np.int64)
+        stop = np.cumsum(size)
+        ids = self.data[np.repeat(self.start[slot] - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
+        edge = np.r_[0, stop][ends]
+        return [ids[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
     def encode(self, text: str | None, key: int = 0) -> np.ndarray:
         return self.encode_all([text], [key])[0]
