@@ -38,7 +38,7 @@ def term_statistics(spark, sf_dir):
 
 def _dense(spark, sf_dir, dim):
     index = search.build_dense(table(spark, sf_dir, "embeddings"), dim=dim)
-    return index, index.where("key < 5").select(F.col("key").alias("query_id"), F.col("vec").alias("qvec"))
+    return index, index.where("key % 50 = 0").select(F.col("key").alias("query_id"), F.col("vec").alias("qvec"))
 
 
 def dense_topk(spark, sf_dir):
@@ -56,9 +56,11 @@ def dense_filtered(spark, sf_dir):
 
 
 def _both(spark, sf_dir, k=100):
-    """Questions 0 to 4 against the documents, and vectors 0 to 4 against the vectors."""
-    sparse = search.search_sparse(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").where("item_id < 5"), k)
-    return sparse, search.search_dense(*_dense(spark, sf_dir, 64), k=k)
+    """Every question against the documents, and the vectors of their numbers against the vectors."""
+    asked = table(spark, sf_dir, "benchmark")
+    index, _ = _dense(spark, sf_dir, 64)
+    vectors = index.join(asked.select(F.col("item_id").alias("key")), "key", "left_semi").select(F.col("key").alias("query_id"), F.col("vec").alias("qvec"))
+    return search.search_sparse(table(spark, sf_dir, "documents"), asked, k), search.search_dense(index, vectors, k=k)
 
 
 def rrf_fusion(spark, sf_dir):
@@ -74,9 +76,10 @@ def minmax_fusion(spark, sf_dir):
 
 
 def phrase_boost(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").where("item_id < 5").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("q"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.crossJoin(F.broadcast(q)).select("item_id", "doc_id", F.round(search.phrase_boost(F.col("q"), F.col("text"), ("thing", "ing")), 6).alias("boost")).where("boost > 0")
+    """The boost of each question's 50 best documents."""
+    got = search.search_sparse(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+    d, q = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    return got.join(d, "key").join(q, "query_id").select("query_id", F.col("key").alias("doc_id"), F.round(search.phrase_boost(F.col("q"), F.col("text"), ("thing", "ing")), 6).alias("boost"))
 
 
 def rerank_overlap(spark, sf_dir):
@@ -132,16 +135,16 @@ def _bm25(tok: str, where: str = "true") -> str:
     s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM c WHERE score > 0)"""
 
 
-def _vec(dim: int) -> str:
+def _vec(dim: int, asked: str = "q.vec_id % 50 = 0") -> str:
     """CTEs up to dn(query_id, vec_id, score, rank)."""
     return f"""v0 AS (SELECT vec_id, label, list_transform(embedding[1:{dim}], lambda x: x::DOUBLE) AS e FROM embeddings), v AS (SELECT vec_id, label, list_transform(e, lambda x: x / (sqrt(list_sum(list_transform(e, lambda y: y * y))) + 1e-10)) AS e FROM v0),
-    dd AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2])) AS score FROM v q, v WHERE q.vec_id < 5)"""
+    dd AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2])) AS score FROM v q, v WHERE {asked})"""
 
 
 _RANKED = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM dd"
 _BEST = "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM s WHERE rank <= 10"
 _TERMS = "list_distinct(list_filter({0}, lambda t: NOT list_contains([" + ", ".join(repr(w) for w in K.STOP_WORDS) + "], t)))"
-_two = f"WITH {_bm25(PLAIN)}, {_vec(64)}, dn AS ({_RANKED}), a AS (SELECT query_id, doc_id AS key, score AS ss, rank AS sr FROM s WHERE rank <= 100 AND query_id < 5), b AS (SELECT query_id, vec_id AS key, score AS ds, rank AS dr FROM dn WHERE rank <= 100), "
+_two = f"WITH {_bm25(PLAIN)}, {_vec(64, 'q.vec_id IN (SELECT item_id FROM benchmark)')}, dn AS ({_RANKED}), a AS (SELECT query_id, doc_id AS key, score AS ss, rank AS sr FROM s WHERE rank <= 100), b AS (SELECT query_id, vec_id AS key, score AS ds, rank AS dr FROM dn WHERE rank <= 100), "
 _tq = STEMMED.format("question")
 
 SQL = {
@@ -154,7 +157,7 @@ SQL = {
     "dense_filtered": f"WITH {_vec(64)} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM ({_RANKED} WHERE label = 1) WHERE rank <= 10",
     "rrf_fusion": _two + "r AS (SELECT query_id, key, sr, dr, coalesce(0.4 / (60 + sr), 0) + coalesce(0.6 / (60 + dr), 0) AS score FROM a FULL JOIN b USING (query_id, key)), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, sr NULLS LAST, dr NULLS LAST, key) AS rank FROM r) SELECT query_id, key AS doc_id, round(score, 9)::DOUBLE AS score, rank FROM o WHERE rank <= 20",
     "minmax_fusion": _two + "r AS (SELECT query_id, key, coalesce(ss, 0) AS s0, coalesce(ds, 0) AS d0, (key % 3)::DOUBLE AS b0 FROM a FULL JOIN b USING (query_id, key)), m AS (SELECT query_id, key, " + " + ".join(f"{w} * CASE WHEN max({c}) OVER w - min({c}) OVER w < 1e-9 THEN 0 ELSE ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) END" for w, c in ((0.65, "d0"), (0.30, "s0"), (0.05, "b0"))) + " AS score FROM r WINDOW w AS (PARTITION BY query_id)), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, key) AS rank FROM m) SELECT query_id, key AS doc_id, round(score, 6)::DOUBLE AS score, rank FROM o WHERE rank <= 20",
-    "phrase_boost": f"WITH q AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS q FROM benchmark WHERE item_id < 5), x AS (SELECT item_id, doc_id, lower(q) AS q, lower(text) AS t, list_filter({STEMMED.format('q')}, lambda t: NOT list_contains([{', '.join(repr(w) for w in K.STOP_WORDS)}], t)) AS toks FROM q, documents) SELECT * FROM (SELECT item_id, doc_id, round(CASE WHEN q <> '' AND contains(t, q) THEN 2 ELSE 0 END + 0.08 * len(list_filter(toks, lambda k: contains(t, k))) + 0.25 * len(list_filter(['thing', 'ing'], lambda k: list_contains(toks, k) AND contains(t, k))), 6)::DOUBLE AS boost FROM x) WHERE boost > 0",
+    "phrase_boost": f"WITH {_bm25(PLAIN)}, x AS (SELECT query_id, s.doc_id, lower(trim(b.text)) AS q, lower(d2.text) AS t, list_filter({STEMMED.format('b.text')}, lambda t: NOT list_contains([{', '.join(repr(w) for w in K.STOP_WORDS)}], t)) AS toks FROM s JOIN benchmark b ON b.item_id = query_id JOIN documents d2 ON d2.doc_id = s.doc_id WHERE rank <= 50) SELECT query_id, doc_id, round(CASE WHEN q <> '' AND contains(t, q) THEN 2 ELSE 0 END + 0.08 * len(list_filter(toks, lambda k: contains(t, k))) + 0.25 * len(list_filter(['thing', 'ing'], lambda k: list_contains(toks, k) AND contains(t, k))), 6)::DOUBLE AS boost FROM x",
     "rerank_overlap": f"WITH {_bm25(PLAIN)}, t AS (SELECT query_id, s.doc_id, {_TERMS.format(STEMMED.format('b.text'))} AS q, {_TERMS.format(STEMMED.format('d2.text'))} AS c FROM s JOIN benchmark b ON b.item_id = query_id JOIN documents d2 ON d2.doc_id = s.doc_id WHERE rank <= 20), x AS (SELECT query_id, doc_id, CASE WHEN len(q) > 0 THEN len(list_intersect(q, c)) / len(q) ELSE 0 END AS score FROM t), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM x) SELECT query_id, doc_id, round(score, 6)::DOUBLE AS score, rank FROM o WHERE rank <= 5",
     "sibling_context": f"SELECT a.doc_id * 1000 + a.\"window\" AS key, md5(left(string_agg(b.content, chr(10) || chr(10) ORDER BY b.\"window\") FILTER (WHERE b.\"window\" <> a.\"window\"), 800)) AS context_md5, CASE WHEN count(*) > 1 THEN count(*) END AS sibling_count FROM {WINDOWS} a JOIN {WINDOWS} b USING (doc_id) GROUP BY a.doc_id, a.\"window\"",
     "prompt_context": f"WITH {_bm25(PLAIN)} SELECT query_id AS question_id, md5(left(string_agg('[Source: ' || upper(source[:1]) || source[2:] || ']' || chr(10) || left(text, 350), chr(10) || chr(10) ORDER BY rank), 8500)) AS context_md5 FROM s JOIN documents d2 ON d2.doc_id = s.doc_id WHERE rank <= 3 GROUP BY 1",

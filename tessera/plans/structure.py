@@ -8,7 +8,7 @@ from tessera.config import Cleaning, Validation
 from tessera.functions import text as T
 from tessera.functions import tokens as K
 from tessera.operators import chunking, layout, validation
-from tessera.plans.common import COUNT, FIRSTS, LINES, STRIP, WINDOWS, firsts, lines, table, windows
+from tessera.plans.common import COUNT, FIRSTS, LINES, STRIP, WINDOWS, WORDS, firsts, lines, table, windows
 from tessera.plans.texts import _FLAT, _TOC
 from tessera.sources import readers
 
@@ -223,4 +223,11 @@ SQL = {
     "source_audit": "SELECT doc_id::VARCHAR AS source_file, count(*) AS total_chunks, count(*) AS matched_chunks, 100.0::DOUBLE AS match_percentage, 'complete' AS status FROM " + WINDOWS + " GROUP BY doc_id",
 }
 
+_TW = lambda h: f"len(list_filter({WORDS.format(h)}, lambda x: regexp_matches(x, '\\A\\p{{Lu}}')))"
+_INST = r"(regexp_matches(heading, '\b(?:MD|PhD|MPH|RN|MSc|MBBS)\b') OR regexp_matches(heading, '\b(?:University|Hospital|Institute|Department|School of|College of)\b'))"
+_BUL = r"(regexp_matches(heading, '^\s*[-*•●◦▪▸►‣⁃]\s|^\s*\d+[.)]\s|^\s*[a-zA-Z][.)]\s') OR regexp_matches(heading, '(?i)https?://|www\.|\b\S+\.(?:org|com|edu|gov)\b'))"
+SQL["integer_headings"] = f"SELECT doc_id, (CASE WHEN n = 0 OR n > 12 THEN -10 ELSE CASE WHEN regexp_matches(heading, '[.!?]\\z') THEN -2 ELSE 0 END + CASE WHEN {_INST} THEN -4 ELSE 0 END + CASE WHEN {_BUL} THEN -4 ELSE 0 END + CASE WHEN regexp_matches(heading, '\\d{{4}}') AND n > 4 THEN -2 ELSE 0 END + CASE WHEN regexp_matches(heading, '^\\d+(?:\\.\\d+)*\\s+') THEN 3 ELSE 0 END + CASE WHEN heading = upper(heading) AND n <= 8 THEN 2 ELSE 0 END + CASE WHEN {_TW('heading')} >= greatest(2, n - 1) THEN 2 ELSE 0 END END)::INTEGER AS score FROM (SELECT *, {COUNT.format('heading')} AS n FROM {FIRSTS})"
+_DANG = "(?:" + "|".join(chunking.DANGLING) + ")"
+_FL = f"list_filter(string_split(c, chr(10)), lambda x: {STRIP.format('x')} <> '')[1]"
+SQL["broken_headings"] = f"SELECT doc_id, h = '' OR regexp_matches(lower(h), '{_DANG}\\z') OR ({COUNT.format('h')} < 2 AND NOT regexp_matches(h, '\\A\\d')) OR regexp_matches(c, '\\A\\p{{Ll}}') AS broken, CASE WHEN ok THEN whole ELSE h END AS healed, len(CASE WHEN ok THEN {STRIP.format('left(c, instr(c, f) - 1) || c[instr(c, f) + len(f):]')} ELSE c END) AS rest_chars FROM (SELECT *, coalesce((regexp_matches(lower(h), '{_DANG}\\z') OR {COUNT.format('h')} < 4) AND NOT regexp_matches(h, '[.!?]\\z') AND {COUNT.format('whole')} <= 15 AND c <> '', false) AS ok FROM (SELECT *, {STRIP.format("concat_ws(' ', h, f)")} AS whole FROM (SELECT *, {_FL} AS f FROM (SELECT doc_id, {_H} AS h, {_C} AS c FROM {FIRSTS}))))"
 QUERIES = {f.__name__: f for f in (repeated_margins, noise_reason_counts, toc_pages, body_font, heading_counts, integer_headings, repeated_lines, wrapped_line_merge, html_blocks, section_ffill, page_sections, fixed_windows_200, page_windows, chunk_links, packed_chunks, semantic_chunks, split_report, stitched_chunks, merged_tiny_chunks, renumbered_chunks, hierarchy_tree, broken_headings, content_quality, heading_quality, quality_summary, issue_counts, worst_chunks, issue_report, source_audit)}

@@ -24,13 +24,13 @@ def dedup_first(spark, sf_dir):
 
 def upsert_absent(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    new = d.where("doc_id % 3 = 0").withColumn("source", F.lit("new"))
-    return relational.insert_absent(d.where("doc_id % 2 = 0"), new, ["doc_id"])
+    new = d.where("lang in ('en', 'fr')").withColumn("source", F.lit("new"))
+    return relational.insert_absent(d.where("lang in ('en', 'de')"), new, ["doc_id"])
 
 
 def replace_by_source(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("source_file"))
-    new = d.where("source_file in ('src1', 'src2') and doc_id % 2 = 0").withColumn("source_file", F.upper("source_file"))
+    new = d.where("source_file in ('src1', 'src2')").withColumn("source_file", F.upper("source_file"))
     return relational.replace_by_source(d, new)
 
 
@@ -41,8 +41,8 @@ def append_parts(spark, sf_dir):
 
 def ordered_union(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    a = d.where("doc_id % 7 = 0").select("doc_id", F.col("n_chars").alias("r"))
-    return relational.ordered_union(a, d.where("doc_id % 5 = 0").select("doc_id", F.col("n_chars").alias("r")), "doc_id", "r")
+    a = table(spark, sf_dir, "labels").select("doc_id", F.col("doc_id").alias("r"))
+    return relational.ordered_union(a, d.select("doc_id", F.col("n_chars").alias("r")), "doc_id", "r")
 
 
 def row_slice(spark, sf_dir):
@@ -52,7 +52,7 @@ def row_slice(spark, sf_dir):
 def join_kinds(spark, sf_dir):
     """Rows that each kind of join gives, in one table."""
     d, lab = table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    parts = {"inner": d.join(lab, "doc_id").where("quality = 1"), "full": d.where("doc_id % 2 = 0").join(lab.where("doc_id % 3 = 0"), "doc_id", "full_outer"), "left": d.join(lab, "doc_id", "left"), "semi": d.join(lab.where("toxic = 1"), "doc_id", "left_semi"), "anti": d.join(lab, "doc_id", "left_anti")}
+    parts = {"inner": d.join(lab, "doc_id").where("quality = 1"), "full": d.where("lang = 'en'").join(lab.where("quality = 1"), "doc_id", "full_outer"), "left": d.join(lab, "doc_id", "left"), "semi": d.join(lab.where("toxic = 1"), "doc_id", "left_semi"), "anti": d.join(lab, "doc_id", "left_anti")}
     out = None
     for k, p in parts.items():
         one = p.agg(F.lit(k).alias("kind"), F.count("*").alias("n"), F.coalesce(F.sum("doc_id"), F.lit(0)).alias("ids"))
@@ -113,12 +113,12 @@ _KIND = lambda k, q: f"SELECT '{k}' AS kind, count(*) AS n, coalesce(sum(doc_id)
 
 SQL = {
     "dedup_first": "SELECT min(doc_id) AS doc_id, source, md5(text) AS text_md5 FROM documents GROUP BY source, md5(text)",
-    "upsert_absent": "SELECT doc_id, lang, source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, lang, 'new' FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0",
-    "replace_by_source": "SELECT doc_id, source AS source_file FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE source IN ('src1', 'src2') AND doc_id % 2 = 0) UNION ALL SELECT doc_id, upper(source) FROM documents WHERE source IN ('src1', 'src2') AND doc_id % 2 = 0",
+    "upsert_absent": "SELECT doc_id, lang, source FROM documents WHERE lang IN ('en', 'de') UNION ALL SELECT doc_id, lang, 'new' FROM documents WHERE lang = 'fr'",
+    "replace_by_source": "SELECT doc_id, source AS source_file FROM documents WHERE source NOT IN ('src1', 'src2') UNION ALL SELECT doc_id, upper(source) FROM documents WHERE source IN ('src1', 'src2')",
     "append_parts": "SELECT lang, quality, count(*) AS n FROM (SELECT lang, NULL::INT AS quality FROM documents UNION ALL SELECT NULL, quality FROM labels) GROUP BY 1, 2",
-    "ordered_union": "WITH u AS (SELECT doc_id, min(l) AS l, any_value(n_chars) AS r FROM (SELECT doc_id, n_chars, 0 AS l FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT doc_id, n_chars, 1 FROM documents WHERE doc_id % 5 = 0) GROUP BY doc_id) SELECT doc_id, row_number() OVER (ORDER BY l, r, doc_id) AS place FROM u",
+    "ordered_union": "WITH u AS (SELECT doc_id, min(l) AS l, arg_min(r, l) AS r FROM (SELECT doc_id, doc_id AS r, 0 AS l FROM labels UNION ALL SELECT doc_id, n_chars, 1 FROM documents) GROUP BY doc_id) SELECT doc_id, row_number() OVER (ORDER BY l, r, doc_id) AS place FROM u",
     "row_slice": "SELECT doc_id, n_chars FROM documents ORDER BY n_chars, doc_id LIMIT 30 OFFSET 10",
-    "join_kinds": " UNION ALL ".join([_KIND("inner", "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1"), _KIND("full", "SELECT doc_id FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) FULL JOIN (SELECT doc_id FROM labels WHERE doc_id % 3 = 0) USING (doc_id)"), _KIND("left", "SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id)"), _KIND("semi", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"), _KIND("anti", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")]),
+    "join_kinds": " UNION ALL ".join([_KIND("inner", "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1"), _KIND("full", "SELECT doc_id FROM (SELECT doc_id FROM documents WHERE lang = 'en') FULL JOIN (SELECT doc_id FROM labels WHERE quality = 1) USING (doc_id)"), _KIND("left", "SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id)"), _KIND("semi", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"), _KIND("anti", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")]),
     "null_safe_left": "WITH d AS (SELECT doc_id, CASE WHEN lang <> 'fr' THEN lang END AS lang, source FROM documents), r AS (SELECT lang, source, max(doc_id) AS last_id FROM d GROUP BY 1, 2) SELECT d.doc_id, last_id FROM d LEFT JOIN r ON d.lang IS NOT DISTINCT FROM r.lang AND d.source IS NOT DISTINCT FROM r.source",
     "star_join": "SELECT r_name AS region, year(o_orderdate)::INTEGER AS year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2",
     "conversation_summary": "SELECT conv_id, left(arg_min(text, turn) FILTER (WHERE role = 'user'), 52) AS title, CASE WHEN coalesce(bool_or(role = 'user' AND (contains(lower(text), 'urgent') OR contains(lower(text), 'help'))), false) THEN 'urgent' ELSE 'general' END AS category, count(*) AS turns, count(*) FILTER (WHERE role = 'user') AS user_turns FROM conversations GROUP BY conv_id",

@@ -93,7 +93,7 @@ def search_texts(spark, sf_dir):
 
 
 def vignette_flag(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", P.is_vignette(F.col("text"), ("year-old",)).alias("vignette"), F.left("text", F.lit(200)).alias("head"))
+    return table(spark, sf_dir, "benchmark").select("item_id", P.is_vignette(F.col("text"), ("year-old",)).alias("vignette"), F.length("text").cast("long").alias("chars"))
 
 
 def metadata_filter(spark, sf_dir):
@@ -148,7 +148,7 @@ SQL = {
     "line_flags": f"SELECT source, count(*) AS lines, {', '.join(f'count(*) FILTER (WHERE {v}) AS {k}' for k, v in _FLAGS.items())} FROM (SELECT *, {STRIP.format('line')} AS b, {_FLAT.format('line')} AS f, {COUNT.format('line')} AS n FROM {LINES}) GROUP BY source",
     "start_flags": f"SELECT source, count(*) FILTER (WHERE low) AS lower_start, count(*) FILTER (WHERE tr) AS transition, count(*) FILTER (WHERE pr) AS pronoun, count(*) FILTER (WHERE trim(line) = '' OR tr OR low OR (pr AND n <= 12)) AS awkward, count(*) FILTER (WHERE n <= 5 AND (trim(line) = '' OR regexp_matches(trim(line), '\\A[a-z][a-z,\\s-]*[.,;:!?]?\\z'))) AS orphan FROM (SELECT source, line, {COUNT.format('line')} AS n, regexp_matches(regexp_replace(line, '\\A[(\"“]+', ''), '\\A\\p{{Ll}}') AS low, {_FIRST} IN {_IN(K.TRANSITIONS)} AS tr, {_FIRST} IN {_IN(K.PRONOUNS)} AS pr FROM {LINES}) GROUP BY source",
     "search_texts": f"SELECT f.doc_id, md5(content || ' ' || heading) AS content_md5, md5(concat_ws(' ', {_PART('heading')}, source, lang, {_PART('content')})) AS all_md5, md5(concat_ws(' > ', source, lang, {_PART('heading')}) || '. ' || content) AS path_md5, md5(concat_ws(chr(10), {_PART('heading')}, source, lang, {_PART('content')})) AS lines_md5, md5(heading || '. ' || content) AS titled_md5 FROM {FIRSTS} f JOIN documents d USING (doc_id)",
-    "vignette_flag": "SELECT item_id, len(text) > 250 OR contains(lower(text), 'year-old') AS vignette, left(text, 200) AS head FROM benchmark",
+    "vignette_flag": "SELECT item_id, len(text) > 250 OR contains(lower(text), 'year-old') AS vignette, len(text) AS chars FROM benchmark",
     "metadata_filter": "SELECT doc_id, lang, source FROM documents WHERE lang IN ('en', 'de') AND source IS NOT DISTINCT FROM 'src1' AND contains(lower(text), 'the')",
     "suspicious_merges": f"SELECT source, sum(len(regexp_extract_all(text, '[a-z] (?:{'|'.join(T.SENTENCE_STARTS)})\\b')))::BIGINT AS merges FROM documents GROUP BY source",
 }
