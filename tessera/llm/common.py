@@ -66,3 +66,14 @@ def ranked(df: DataFrame, by: list[str], order: list[str], name: str, bucket: Co
     within = W.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     out = df.withColumn("_own", F.coalesce(F.sum(size).over(within), F.lit(0))).join(sums, [*by, "_bucket"])
     return out.withColumn(name, (F.col("_base") + F.col("_own")).cast("long")).drop("_bucket", "_own", "_base")
+
+
+def hot_join(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, parts: int = 256) -> DataFrame:
+    """`rows` joined with `groups` (a row a `key`, `size` rows of `rows` each), without a task that gets a hot group's rows.
+
+    A group of more than 1/`parts` of all `total` rows is hot; there are fewer than `parts` of these, so they are
+    sent to where their rows are. The others meet by a shuffle.
+    """
+    most = max(total // parts, 1000)
+    hot, cool = F.broadcast(groups.where(F.col(size) > most)), groups.where(F.col(size) <= most)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cool, key))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, ranked
+from tessera.llm.common import cut, hot_join, ranked
 
 
 def quota(total: int, shards: int) -> Column:
@@ -24,46 +24,58 @@ def quota(total: int, shards: int) -> Column:
     return (F.lit(total // shards) + (F.col("shard") < total % shards).cast("int")).cast("long")
 
 
-def grouped(nodes: DataFrame, group: str = "grp") -> DataFrame:
-    """Adds members, the rows of the row's group (1 where the group is null)."""
-    sizes = nodes.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("members"))
-    return nodes.join(sizes, group, "left").withColumn("members", F.coalesce("members", F.lit(1)))
+def grouped(nodes: DataFrame, total: int) -> DataFrame:
+    """Adds members, the rows of the row's group (1 where the group is null), and hot, whether those are over 1/256 of all."""
+    sizes = nodes.where("grp is not null").groupBy("grp").agg(F.count("*").alias("members"))
+    several = hot_join(nodes.where("grp is not null"), sizes, "grp", "members", total)
+    out = several.unionByName(nodes.where("grp is null").withColumn("members", F.lit(1).cast("long")))
+    return out.withColumn("hot", F.col("members") > max(total // 256, 1000))
 
 
-def propagate(nodes: DataFrame, shards: int = 16, rounds: int = 7) -> DataFrame:
+def propagate(nodes: DataFrame, shards: int = 16, rounds: int = 12) -> DataFrame:
     """`nodes` (columns h, a 64-bit hash of the row, and grp, its link group or null) with `shard` and `slot` added.
 
     A round: count each group's rows in each shard (a partial count, so a hot group is a row a task and shard);
-    per group, rank the shards that have room by that count; rows outside of the best one ask to move there;
-    those asking are ranked per shard, rows of a group together, and the quota's worth of them move.
+    per group, take the shard with room that has most of them; rows outside of it ask to move there; those
+    asking are ranked per shard, rows of a group together, and as many as there is room for move. A hot group
+    may fill several shards: those it has most rows in, as many as its rows need. Rounds end when nothing
+    moves, or after `rounds`.
     """
-    nodes = cut(grouped(nodes))
+    nodes = cut(nodes)
     total = nodes.count()
+    nodes = cut(grouped(nodes, total))
     here = F.pmod("h", F.lit(shards)).cast("int")
     linked = nodes.where("members > 1").withColumn("shard", here).withColumn("moved", F.lit(False))
     near = F.shiftright(F.xxhash64("grp"), 56) * 256 + F.pmod(F.shiftright("h", 8), F.lit(256))
     each = nodes.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
     for _ in range(rounds):
+        names = [c for c in linked.columns if c != "moved"]
+        counts = linked.groupBy("grp", "hot", "shard").agg(F.count("*").alias("n"))
+        # a shard's room is a row a shard: at most `shards` rows
         inside = each.join(linked.groupBy("shard").agg(F.count("*").alias("in")), "shard", "left")
         room = inside.select("shard", (quota(total, shards) - F.coalesce("in", F.lit(0))).alias("room"))
-        counts = linked.groupBy("grp", "shard").agg(F.count("*").alias("n"))
-        # a shard's room is a row a shard: at most `shards` rows
-        open_ = counts.join(F.broadcast(room), "shard").where("room > 0")
-        best = open_.groupBy("grp").agg(F.max(F.struct("n", -F.pmod(F.xxhash64("grp", "shard"), F.lit(1 << 30)), "shard")).alias("b")).select("grp", F.col("b.n").alias("best_n"), F.col("b.shard").alias("best"))
-        asks = linked.join(best, "grp", "left").withColumn("asks", F.col("best").isNotNull() & (F.col("best") != F.col("shard")))
+        most = F.max(F.struct("n", -F.pmod(F.xxhash64("grp", "shard"), F.lit(1 << 30)), "shard"))
+        best = counts.join(F.broadcast(room), "shard").where("room > 0").groupBy("grp", "hot").agg(most.alias("b")).select("grp", "hot", F.col("b.shard").alias("best"))
+        warm = linked.where("not hot").join(best.where("not hot").drop("hot"), "grp", "left")
         full = F.broadcast(room.where("room <= 0").select("shard", F.lit(True).alias("full")))
         # a row in a full shard stays: it is with the part of its group that filled the shard
-        asks = asks.join(full, "shard", "left").withColumn("asks", F.col("asks") & F.col("full").isNull()).drop("full")
+        warm = warm.join(full, "shard", "left").withColumn("asks", F.col("best").isNotNull() & (F.col("best") != F.col("shard")) & F.col("full").isNull()).select(*names, "best", "asks")
+        # fewer than 256 groups are hot: at most that many rows a shard are sent to where their rows are
+        down = W.partitionBy("grp").orderBy(F.col("n").desc(), "shard").rowsBetween(W.unboundedPreceding, -1)
+        free = F.greatest("room", F.lit(0))
+        homes = counts.where("hot").join(F.broadcast(room), "shard").withColumn("all", F.sum("n").over(W.partitionBy("grp"))).withColumn("low", F.coalesce(F.sum(free).over(down), F.lit(0))).withColumn("held", F.col("low") + F.coalesce(F.sum("n").over(down), F.lit(0))).where("held < `all`")
+        homes = F.broadcast(homes.select("grp", F.col("shard").alias("best"), "low", (F.col("low") + free).alias("high")))
+        hot = linked.where("hot").join(homes.select("grp", F.col("best").alias("shard"), F.lit(True).alias("home")), ["grp", "shard"], "left")
+        away = ranked(hot.where("home is null"), ["grp"], ["h"], "r", F.shiftright("h", 52))
+        away = away.join(homes, (away["grp"] == homes["grp"]) & (F.col("r") >= F.col("low")) & (F.col("r") < F.col("high")), "left").select(*[away[c] for c in names], "best", F.col("best").isNotNull().alias("asks"))
+        asks = warm.unionByName(hot.where("home").select(*names, F.lit(None).cast("int").alias("best"), F.lit(False).alias("asks"))).unionByName(away)
         moving = ranked(asks.where("asks"), ["best"], ["h"], "r", near).join(F.broadcast(room.withColumnRenamed("shard", "best")), "best")
-        moved = moving.withColumn("shard", F.when(F.col("r") < F.col("room"), F.col("best")).otherwise(F.col("shard")))
-        names = [c for c in linked.columns if c != "moved"]
-        moved = moved.select(*names, (F.col("r") < F.col("room")).alias("moved"))
+        gone = F.col("r") < F.col("room")
+        moved = moving.withColumn("shard", F.when(gone, F.col("best")).otherwise(F.col("shard"))).select(*names, gone.alias("moved"))
         linked = cut(asks.where("not asks").select(*names, F.lit(False).alias("moved")).unionByName(moved))
         if linked.where("moved").isEmpty():
             break
-    linked = linked.drop("moved")
-    kept = ranked(linked, ["shard"], ["h"], "r", near).withColumn("stays", F.col("r") < quota(total, shards)).drop("r")
-    kept = cut(kept)
+    kept = cut(ranked(linked.drop("moved"), ["shard"], ["h"], "r", near).withColumn("stays", F.col("r") < quota(total, shards)).drop("r"))
     pool = kept.where("not stays").drop("stays", "shard").unionByName(nodes.where("members = 1")).withColumn("one", F.lit(0))
     nearly = F.when(F.col("members") > 1, F.shiftright(F.xxhash64("grp"), 58) * 64 + F.pmod("h", F.lit(64))).otherwise(F.lit(4096) + F.shiftright("h", 52))
     pool = ranked(pool, ["one"], ["h"], "r", nearly)
@@ -71,10 +83,10 @@ def propagate(nodes: DataFrame, shards: int = 16, rounds: int = 7) -> DataFrame:
     holes = stay.withColumn("hole", quota(total, shards) - F.coalesce("in", F.lit(0))).withColumn("to", F.sum("hole").over(W.orderBy("shard"))).select("shard", (F.col("to") - F.col("hole")).alias("from"), "to")
     filled = pool.join(F.broadcast(holes), (F.col("r") >= F.col("from")) & (F.col("r") < F.col("to"))).select(*nodes.columns, "shard")
     done = kept.where("stays").select(*nodes.columns, "shard").unionByName(filled)
-    return ranked(done, ["shard"], ["h"], "slot", F.shiftright("h", 52))
+    return ranked(done, ["shard"], ["h"], "slot", F.shiftright("h", 52)).drop("hot")
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 7, text: str = "text", key: str = "doc_id") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 12, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, size, text_crc32, grp, members, shard, slot): documents with equal texts are linked."""
     raw = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     nodes = docs.select(F.col(f"`{key}`").alias("key"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.sha2(raw, 256).alias("grp"), F.xxhash64(F.col(f"`{key}`")).alias("h"))
