@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, hot_join
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -41,8 +41,9 @@ def sha1_base32(data: Column) -> Column:
 
 def revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     """(rid, rdigest, refers_to): the rows of (rid, rdigest, size) that revisit another; a row each."""
-    groups = pages.where(F.col("size") >= least).groupBy("rdigest").agg(F.max("rid").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = pages.where(F.col("size") >= least).join(groups, "rdigest").where("rid is null or rid < refers_to")
+    found = cut(pages.where(F.col("size") >= least).select("rid", "rdigest"))
+    groups = found.groupBy("rdigest").agg(F.max("rid").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
+    again = hot_join(found, groups, "rdigest", "n", found.count()).where("rid is null or rid < refers_to")
     return again.select("rid", "rdigest", "refers_to").distinct()
 
 
