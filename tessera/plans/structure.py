@@ -230,4 +230,9 @@ SQL["integer_headings"] = f"SELECT doc_id, (CASE WHEN n = 0 OR n > 12 THEN -10 E
 _DANG = "(?:" + "|".join(chunking.DANGLING) + ")"
 _FL = f"list_filter(string_split(c, chr(10)), lambda x: {STRIP.format('x')} <> '')[1]"
 SQL["broken_headings"] = f"SELECT doc_id, h = '' OR regexp_matches(lower(h), '{_DANG}\\z') OR ({COUNT.format('h')} < 2 AND NOT regexp_matches(h, '\\A\\d')) OR regexp_matches(c, '\\A\\p{{Ll}}') AS broken, CASE WHEN ok THEN whole ELSE h END AS healed, len(CASE WHEN ok THEN {STRIP.format('left(c, instr(c, f) - 1) || c[instr(c, f) + len(f):]')} ELSE c END) AS rest_chars FROM (SELECT *, coalesce((regexp_matches(lower(h), '{_DANG}\\z') OR {COUNT.format('h')} < 4) AND NOT regexp_matches(h, '[.!?]\\z') AND {COUNT.format('whole')} <= 15 AND c <> '', false) AS ok FROM (SELECT *, {STRIP.format("concat_ws(' ', h, f)")} AS whole FROM (SELECT *, {_FL} AS f FROM (SELECT doc_id, {_H} AS h, {_C} AS c FROM {FIRSTS}))))"
+# windows of a document have one heading and no level 3, and only the last one is short: joins depend on neighbours alone
+_GOES = "regexp_matches(p, '[.!?:;\"'')\\]]\\z')"
+SQL["stitched_chunks"] = f"WITH w AS (SELECT *, lag(content) OVER d AS p FROM {WINDOWS} WINDOW d AS (PARTITION BY doc_id ORDER BY \"window\")), g AS (SELECT *, sum(CASE WHEN p IS NOT NULL AND ((NOT {_GOES} AND regexp_matches(content, '\\A\\p{{Ll}}')) OR word_count < 100) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY \"window\") AS grp FROM w), h AS (SELECT *, row_number() OVER (PARTITION BY doc_id, grp ORDER BY \"window\") AS rn FROM g) SELECT 'd' || doc_id AS source_file, min(\"window\") AS chunk_id, min(\"window\")::INTEGER AS page_start, max(\"window\")::INTEGER AS page_end, sum(word_count)::BIGINT AS word_count, (count(*) - 1)::INTEGER AS stitched, md5(string_agg(CASE WHEN rn = 1 THEN '' WHEN {_GOES} THEN chr(10) || chr(10) ELSE ' ' END || content, '' ORDER BY \"window\")) AS content_md5 FROM h GROUP BY doc_id, grp"
+SQL["merged_tiny_chunks"] = f"SELECT 'd' || doc_id AS source_file, \"window\" + 1 AS chunk_id, word_count + coalesce(CASE WHEN n < 40 THEN n END, 0) AS word_count FROM (SELECT *, lead(word_count) OVER (PARTITION BY doc_id ORDER BY \"window\") AS n FROM {WINDOWS}) WHERE NOT (\"window\" > 0 AND word_count < 40)"
+
 QUERIES = {f.__name__: f for f in (repeated_margins, noise_reason_counts, toc_pages, body_font, heading_counts, integer_headings, repeated_lines, wrapped_line_merge, html_blocks, section_ffill, page_sections, fixed_windows_200, page_windows, chunk_links, packed_chunks, semantic_chunks, split_report, stitched_chunks, merged_tiny_chunks, renumbered_chunks, hierarchy_tree, broken_headings, content_quality, heading_quality, quality_summary, issue_counts, worst_chunks, issue_report, source_audit)}
