@@ -53,7 +53,7 @@ class Dropout:
     rate: float = 0.1
     seed: int = 1
     variants: int = 8
-    cached: int = 500_000
+    cached: int = 250_000
 
 
 def load(path: str = MODEL) -> list[tuple[str, float, bool]]:
@@ -146,7 +146,7 @@ class Encoder:
     def _forget(self) -> None:
         """Empties what is kept: the units' numbers, and by number and variant where in `data` its ids are."""
         self.known, self.used = Units(), 0
-        self.start, self.size, self.data = np.zeros(1 << 16, np.int64), np.full(1 << 16, -1, np.int32), np.zeros(1 << 16, np.int32)
+        self.start, self.size, self.data = np.zeros(1 << 16, np.int32), np.full(1 << 16, -1, np.int32), np.zeros(1 << 16, np.int32)
 
     def many(self, units: list[str], variants: list[int]) -> list[bytes]:
         """The ids of units under variants, as packed 32-bit numbers; all agendas move a step at a time."""
@@ -279,21 +279,21 @@ class Encoder:
             ends.append(len(units))
         slot = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units)) * v + np.concatenate(which)
         if (more := len(self.known) * v - len(self.size)) > 0:
-            more = max(more, len(self.size))
-            self.start, self.size = np.r_[self.start, np.zeros(more, np.int64)], np.r_[self.size, np.full(more, -1, np.int32)]
+            more = max(more, len(self.size) // 4)
+            self.start, self.size = np.r_[self.start, np.zeros(more, np.int32)], np.r_[self.size, np.full(more, -1, np.int32)]
         todo = np.unique(slot[self.size[slot] < 0])
         if len(todo):
             got = self.many([self.known.names[i] for i in (todo // v).tolist()], (todo % v).tolist())
             new = np.frombuffer(b"".join(got), np.int32)
             size = np.fromiter(map(len, got), np.int64, len(got)) // 4
             if self.used + len(new) > len(self.data):
-                self.data = np.r_[self.data, np.zeros(max(len(new), len(self.data)), np.int32)]
+                self.data = np.r_[self.data, np.zeros(max(len(new), len(self.data) // 4), np.int32)]
             self.data[self.used : self.used + len(new)] = new
             self.start[todo], self.size[todo] = self.used + np.cumsum(size) - size, size
             self.used += len(new)
         size = self.size[slot].astype(np.int64)
         stop = np.cumsum(size)
-        ids = self.data[np.repeat(self.start[slot] - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
+        ids = self.data[np.repeat(self.start[slot].astype(np.int64) - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
         edge = np.r_[0, stop][ends]
         return [ids[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
@@ -326,7 +326,7 @@ def encoded(docs: DataFrame, dropout: Dropout = Dropout(), model: str = MODEL, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(vocab, dropout)
-        for b in slices(batches, 1024):
+        for b in slices(batches, 256):
             texts = [t or "" for t in b.column(2).to_pylist()]
             ids = e.encode_all(texts, [k or 0 for k in b.column(1).to_pylist()])
             same = pa.array([e.decode(i.tolist()) == t for i, t in zip(ids, texts, strict=True)])
