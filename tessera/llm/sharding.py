@@ -32,6 +32,23 @@ def grouped(nodes: DataFrame, total: int) -> DataFrame:
     return out.withColumn("hot", F.col("members") > max(total // 256, 1000))
 
 
+def _giants(linked: DataFrame, counts: DataFrame, room: DataFrame) -> DataFrame:
+    """Rows of hot groups with best and asks: a group's homes are the shards it has most rows in, as many as its rows need.
+
+    Rows outside of them ask for their room in turn. There are fewer than 256 hot groups, so their counts are small.
+    """
+    names = [c for c in linked.columns if c != "moved"]
+    down = W.partitionBy("grp").orderBy(F.col("n").desc(), "shard").rowsBetween(W.unboundedPreceding, -1)
+    free, none = F.greatest("room", F.lit(0)), F.lit(0)
+    homes = counts.join(F.broadcast(room), "shard").withColumn("all", F.sum("n").over(W.partitionBy("grp"))).withColumn("low", F.coalesce(F.sum(free).over(down), none)).withColumn("held", F.col("low") + F.coalesce(F.sum("n").over(down), none))
+    homes = F.broadcast(homes.where("held < `all`").select(F.col("grp").alias("g"), F.col("shard").alias("best"), "low", (F.col("low") + free).alias("high")))
+    rows = linked.join(homes.select(F.col("g").alias("grp"), F.col("best").alias("shard"), F.lit(True).alias("home")), ["grp", "shard"], "left")
+    stay = rows.where("home").select(*names, F.lit(None).cast("int").alias("best"), F.lit(False).alias("asks"))
+    away = ranked(rows.where("home is null"), ["grp"], ["h"], "r", F.shiftright("h", 52))
+    away = away.join(homes, (F.col("grp") == F.col("g")) & (F.col("r") >= F.col("low")) & (F.col("r") < F.col("high")), "left")
+    return stay.unionByName(away.select(*names, "best", F.col("best").isNotNull().alias("asks")))
+
+
 def propagate(nodes: DataFrame, shards: int = 16, rounds: int = 12) -> DataFrame:
     """`nodes` (columns h, a 64-bit hash of the row, and grp, its link group or null) with `shard` and `slot` added.
 
@@ -44,6 +61,7 @@ def propagate(nodes: DataFrame, shards: int = 16, rounds: int = 12) -> DataFrame
     nodes = cut(nodes)
     total = nodes.count()
     nodes = cut(grouped(nodes, total))
+    giant = (nodes.agg(F.max("members")).first()[0] or 0) > total // shards
     here = F.pmod("h", F.lit(shards)).cast("int")
     linked = nodes.where("members > 1").withColumn("shard", here).withColumn("moved", F.lit(False))
     near = F.shiftright(F.xxhash64("grp"), 56) * 256 + F.pmod(F.shiftright("h", 8), F.lit(256))
@@ -56,19 +74,14 @@ def propagate(nodes: DataFrame, shards: int = 16, rounds: int = 12) -> DataFrame
         room = inside.select("shard", (quota(total, shards) - F.coalesce("in", F.lit(0))).alias("room"))
         most = F.max(F.struct("n", -F.pmod(F.xxhash64("grp", "shard"), F.lit(1 << 30)), "shard"))
         best = counts.join(F.broadcast(room), "shard").where("room > 0").groupBy("grp", "hot").agg(most.alias("b")).select("grp", "hot", F.col("b.shard").alias("best"))
-        warm = linked.where("not hot").join(best.where("not hot").drop("hot"), "grp", "left")
         full = F.broadcast(room.where("room <= 0").select("shard", F.lit(True).alias("full")))
+        warm = linked.where("not hot").join(best.where("not hot").drop("hot"), "grp", "left")
+        if not giant:  # fewer than 256 groups are hot: a row each is sent to where their rows are
+            warm = warm.unionByName(linked.where("hot").join(F.broadcast(best.where("hot").drop("hot")), "grp", "left"))
         # a row in a full shard stays: it is with the part of its group that filled the shard
-        warm = warm.join(full, "shard", "left").withColumn("asks", F.col("best").isNotNull() & (F.col("best") != F.col("shard")) & F.col("full").isNull()).select(*names, "best", "asks")
-        # fewer than 256 groups are hot: at most that many rows a shard are sent to where their rows are
-        down = W.partitionBy("grp").orderBy(F.col("n").desc(), "shard").rowsBetween(W.unboundedPreceding, -1)
-        free = F.greatest("room", F.lit(0))
-        homes = counts.where("hot").join(F.broadcast(room), "shard").withColumn("all", F.sum("n").over(W.partitionBy("grp"))).withColumn("low", F.coalesce(F.sum(free).over(down), F.lit(0))).withColumn("held", F.col("low") + F.coalesce(F.sum("n").over(down), F.lit(0))).where("held < `all`")
-        homes = F.broadcast(homes.select("grp", F.col("shard").alias("best"), "low", (F.col("low") + free).alias("high")))
-        hot = linked.where("hot").join(homes.select("grp", F.col("best").alias("shard"), F.lit(True).alias("home")), ["grp", "shard"], "left")
-        away = ranked(hot.where("home is null"), ["grp"], ["h"], "r", F.shiftright("h", 52))
-        away = away.join(homes, (away["grp"] == homes["grp"]) & (F.col("r") >= F.col("low")) & (F.col("r") < F.col("high")), "left").select(*[away[c] for c in names], "best", F.col("best").isNotNull().alias("asks"))
-        asks = warm.unionByName(hot.where("home").select(*names, F.lit(None).cast("int").alias("best"), F.lit(False).alias("asks"))).unionByName(away)
+        asks = warm.join(full, "shard", "left").withColumn("asks", F.col("best").isNotNull() & (F.col("best") != F.col("shard")) & F.col("full").isNull()).select(*names, "best", "asks")
+        if giant:
+            asks = asks.unionByName(_giants(linked.where("hot"), counts.where("hot"), room))
         moving = ranked(asks.where("asks"), ["best"], ["h"], "r", near).join(F.broadcast(room.withColumnRenamed("shard", "best")), "best")
         gone = F.col("r") < F.col("room")
         moved = moving.withColumn("shard", F.when(gone, F.col("best")).otherwise(F.col("shard"))).select(*names, gone.alias("moved"))
