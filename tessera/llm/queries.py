@@ -63,7 +63,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     mono = warc.write_monolithic(table(spark, sf_dir, "pages"), fresh_dir(spark, "warc-mono"))
     archives = fresh_dir(spark, "warc")
     warc.normalise(spark, mono, archives)
-    return warc.read(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset", "length")
+    return warc.read(spark, archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset", "length")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

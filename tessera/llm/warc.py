@@ -178,16 +178,18 @@ def normalise(spark: SparkSession, source: str, target: str, level: int = 4) ->
         _put(target, "empty.warc.gz", b"")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """(archive, offset, length, page_id, record_type, refers_to, payload_bytes, payload_digest, url, html) of normalised archives.
 
     Members are found by the index beside each archive, and each is inflated by itself. A response's digest is
     that of its payload, which has to agree with its header; a revisit has those of its header and a null html.
+    Without `payloads` every html is null; they are read and checked all the same.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["archive", "offset", "length", "page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "url", "html"]
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+        packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         store, folder = _store(path)
         for b in batches:
             for archive, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -205,9 +207,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     digest = fields["warc-payload-digest"].removeprefix("sha1:")
                     if not again and (base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest or len(payload) != size):
                         raise ValueError(f"{archive} at {offset}: the payload isn't that of the header")
-                    rows.append((archive, offset, length, _named(fields["warc-record-id"]), fields["warc-type"], _named(fields.get("warc-refers-to")) if again else None, size, digest, fields.get("warc-target-uri"), None if again else payload.decode()))
-                for k in range(0, len(rows), 500):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 500], strict=True), kinds, strict=True)], names)
+                    rows.append((archive, offset, length, _named(fields["warc-record-id"]), fields["warc-type"], _named(fields.get("warc-refers-to")) if again else None, size, digest, fields.get("warc-target-uri"), payload.decode() if payloads and not again else None))
+                    if len(rows) == 200:
+                        yield packed(rows)
+                        rows = []
+                if rows:
+                    yield packed(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
     return files.mapInArrow(run, "archive string, offset long, length long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, url string, html string")
