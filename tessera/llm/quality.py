@@ -109,6 +109,7 @@ def clean(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -
     The row number keeps the optimizer from moving the filter below the projections, where every
     reference to a column would compute it again.
     """
-    names = [c for c in docs.columns if not c.startswith("q_") or c == text]
-    judged = judge(docs, rules, text).withColumn("q_row", F.monotonically_increasing_id())
-    return judged.where((F.col("q_row") >= 0) & F.col("q_kept")).select(*[F.col("q_text").alias(c) if c == text else F.col(f"`{c}`") for c in names])
+    names = docs.columns
+    numbered = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    judged = judge(numbered, rules, f"c{names.index(text)}").withColumn("q_row", F.monotonically_increasing_id())
+    return judged.where((F.col("q_row") >= 0) & F.col("q_kept")).select(*[F.col("q_text" if c == text else f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -51,4 +51,5 @@ def test_odd_rows(odd):
     got = quality.judge(odd).collect()
     assert len(got) == len(rows)
     assert Counter((r["q_words"], r["q_repeat_words"], r["q_base_failed"]) for r in got) == Counter((b[0], b[4], b[5]) for b in map(brute, (r["text"] for r in rows)))
-    assert [r["doc_id"] for r in quality.clean(odd).collect()] == [None]
+    kept = quality.clean(odd)
+    assert kept.columns == odd.columns and [(r["doc_id"], r["q_text"]) for r in kept.collect()] == [(None, "x")]
