@@ -262,7 +262,7 @@ def _wide_walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def wide_links(nodes: DataFrame, split: int = 20_000) -> DataFrame:
     """(a, b): ids of distinct wide fingerprints (columns id, wide) within WIDE_BITS that share a byte triple by place.
 
-    A pair of similarity 0.9 shares one of the 48 triples with a probability of 97 %, one of 0.8 with 61 %.
+    In theory a pair of similarity 0.9 shares one of the 48 triples with a probability of 97 %, one of 0.8 with 61 %.
     """
     posted = nodes.select("id", "wide").mapInArrow(_wide_posts, "post long, id long")
     sizes = posted.groupBy("post").agg(F.count("*").alias("n")).where("n > 1")
