@@ -11,6 +11,10 @@ from tessera.config import Cleaning
 from tessera.functions import text as T
 
 
+#: A line of nothing but marks.
+SYMBOLS = r"\A[®Ü•*=\-_/|]+\z"
+
+
 def metadata(filters: dict[str, Any]) -> Column:
     """AND over columns: one of the values where a list is given, else null-safe equality."""
     out = F.lit(True)
@@ -51,7 +55,7 @@ def is_url(text: Column) -> Column:
 
 
 def is_symbol_noise(text: Column) -> Column:
-    return T.strip(text).rlike(r"\A[®Ü•*=\-_/|]+\z")
+    return T.strip(text).rlike(SYMBOLS)
 
 
 def is_institution(text: Column) -> Column:
@@ -85,17 +89,17 @@ def in_margin(min_y: Column, max_y: Column, top: float, bottom: float) -> Column
     return (max_y < top) | (min_y > bottom)
 
 
-def removal_reason(text: Column, max_y: Column, kind: Column, header: Column, footer: Column, c: Cleaning = Cleaning()) -> Column:
+def removal_reason(text: Column, max_y: Column, kind: Column, header: Column, footer: Column, c: Cleaning = Cleaning(), stripped: bool = False) -> Column:
     """Why a block goes, first reason first; null where it stays. header, footer: whether its text repeats there."""
-    bare = T.strip(text)
+    bare = text if stripped else T.strip(text)
     return (
         F.when(header, "repeated_header")
         .when(footer, "repeated_footer")
         .when(bare.rlike(r"\A\d{1,4}\z"), "page_number")
         .when((max_y > c.page_height - c.footer_band) & (T.word_count(bare) <= c.footer_max_words), "bottom_footer")
         .when(bare.isin(*c.known_artifacts), "known_artifact")
-        .when(is_symbol_noise(bare), "symbol_noise")
-        .when(T.is_artifact(bare, (), c.noise_patterns), "noise_pattern")
+        .when(bare.rlike(SYMBOLS), "symbol_noise")
+        .when(bare.rlike(rf"\A(?:{'|'.join(c.noise_patterns)})\z") if c.noise_patterns else F.lit(False), "noise_pattern")
         .when(is_navigation(bare, c.navigation), "navigation")
         .when(is_toc_line(bare), "toc_line")
         .when(kind.isin("header", "footer"), "parser_header_footer")

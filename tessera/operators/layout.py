@@ -33,7 +33,8 @@ def with_removal_reason(blocks: DataFrame, c: Cleaning = Cleaning()) -> DataFram
     """`blocks` with removal_reason, null for those that stay."""
     found = blocks.withColumn("norm", T.match_key(F.col("text"))).join(repeated_margins(blocks, c), ["source_file", "norm"], "left")
     flag = lambda n: F.coalesce(F.col(n), F.lit(False))
-    return found.withColumn("removal_reason", P.removal_reason(F.col("text"), F.col("max_y"), F.col("doc_item_type"), flag("header"), flag("footer"), c)).drop("norm", "header", "footer")
+    reason = P.removal_reason(F.col("_bare"), F.col("max_y"), F.col("doc_item_type"), flag("header"), flag("footer"), c, stripped=True)
+    return found.withColumn("_bare", T.strip(F.col("text"))).withColumn("removal_reason", reason).drop("norm", "header", "footer", "_bare")
 
 
 def filter_noise(blocks: DataFrame, c: Cleaning = Cleaning()) -> tuple[DataFrame, DataFrame]:

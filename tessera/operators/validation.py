@@ -23,9 +23,10 @@ def _judged(rules: list[tuple[str, str, Column, Column]], empty: tuple[str, Colu
     return F.when(is_empty, F.lit(0.0)).otherwise(F.greatest(score, F.lit(0.0))), F.when(is_empty, alone).otherwise(found)
 
 
-def heading_quality(heading: Column, v: Validation = Validation()) -> tuple[Column, Column]:
-    h = T.strip(F.coalesce(heading, F.lit("")))
-    n, loss = T.word_count(h), lambda x: F.lit(float(x))
+def heading_quality(heading: Column, v: Validation = Validation(), n: Column | None = None) -> tuple[Column, Column]:
+    """n: the words, if they are known; the heading is then stripped already."""
+    h = T.strip(F.coalesce(heading, F.lit(""))) if n is None else heading
+    n, loss = T.word_count(h) if n is None else n, lambda x: F.lit(float(x))
     lower = (h == F.lower(h)) & h.rlike(r"\p{L}") & (n > 1)
     symbols = F.regexp_count(h, F.lit(r"(?U)[^\w\s]")) / F.greatest(F.length(h), F.lit(1))
     rules = [("H002", "warning", n < v.heading_min_words, loss(30)), ("H003", "warning", n > v.heading_max_words, loss(20)), ("H004", "warning", lower, loss(20))]
@@ -34,9 +35,10 @@ def heading_quality(heading: Column, v: Validation = Validation()) -> tuple[Colu
     return _judged(rules, ("H001", h == ""))
 
 
-def content_quality(content: Column, v: Validation = Validation()) -> tuple[Column, Column]:
-    c = T.strip(F.coalesce(content, F.lit("")))
-    n, size, loss = T.word_count(c), F.greatest(F.length(c), F.lit(1)), lambda x: F.lit(float(x))
+def content_quality(content: Column, v: Validation = Validation(), n: Column | None = None) -> tuple[Column, Column]:
+    """n: the words, if they are known; the content is then stripped already."""
+    c = T.strip(F.coalesce(content, F.lit(""))) if n is None else content
+    n, size, loss = T.word_count(c) if n is None else n, F.greatest(F.length(c), F.lit(1)), lambda x: F.lit(float(x))
     merges = F.regexp_count(c, F.lit("[a-z][A-Z][a-z]"))
     rules = [
         ("C002", "warning", n < v.content_min_words, loss(40)),
@@ -65,13 +67,16 @@ def hierarchy_issues(level1: Column, level2: Column, level3: Column) -> Column:
 
 def validate(chunks: DataFrame, similarity: Column | None = None, v: Validation = Validation()) -> DataFrame:
     """`chunks` (heading, content, level1..3) with quality<heading, content, semantic, overall> and issues."""
-    hs, hi = heading_quality(F.col("heading"), v)
-    cs, ci = content_quality(F.col("content"), v)
+    # stripped texts and their words are columns, so that the rules don't make them anew each
+    bare = chunks.withColumns({f"_{c}": T.strip(F.coalesce(c, F.lit(""))) for c in ("heading", "content")})
+    bare = bare.withColumns({f"_{c}_n": T.word_count(F.col(f"_{c}")) for c in ("heading", "content")})
+    hs, hi = heading_quality(F.col("_heading"), v, F.col("_heading_n"))
+    cs, ci = content_quality(F.col("_content"), v, F.col("_content_n"))
     ss, si = semantic_quality(F.lit(1.0) if similarity is None else similarity, v)
-    df = chunks.withColumns({"_h": hs, "_c": cs, "_s": ss, "issues": F.concat(hi, ci, si, hierarchy_issues(F.col("level1"), F.col("level2"), F.col("level3")))})
+    df = bare.withColumns({"_h": hs, "_c": cs, "_s": ss, "issues": F.concat(hi, ci, si, hierarchy_issues(F.col("level1"), F.col("level2"), F.col("level3")))})
     w = v.weights
     overall = w[0] * F.col("_h") + w[1] * F.col("_c") + w[2] * F.col("_s")
-    return df.withColumn("quality", F.struct(F.col("_h").alias("heading"), F.col("_c").alias("content"), F.col("_s").alias("semantic"), overall.alias("overall"))).drop("_h", "_c", "_s")
+    return df.withColumn("quality", F.struct(F.col("_h").alias("heading"), F.col("_c").alias("content"), F.col("_s").alias("semantic"), overall.alias("overall"))).drop("_h", "_c", "_s", "_heading", "_content", "_heading_n", "_content_n")
 
 
 def summary(judged: DataFrame, v: Validation = Validation()) -> DataFrame:
