@@ -23,6 +23,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, hot_join, slices
@@ -274,7 +275,7 @@ def wide_links(nodes: DataFrame, split: int = 20_000) -> DataFrame:
 
 
 def similar(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, component): components over both kinds of links, those of `near_duplicates` and those of wide fingerprints."""
+    """(key, component): components over the links of `near_duplicates` and those of wide fingerprints; approximate, `near_copies` is exact."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -294,9 +295,216 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     return hot_join(rows, named, "node", "n", rows.count()).select("key", "component")
 
 
+#: Similarity |A and B| / |A or B| of two texts' distinct five-word shingles from which on they are linked: 4 / 5.
+SIM = (4, 5)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(text: str | None, seed: int = 42) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's five-word shingles; a text of fewer words is one shingle, a blank one has none."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxh64_intdigest, words, repeat(seed)), np.uint64, len(words))
+    n = max(1, len(h) - WIDE_SHINGLE + 1)
+    x = np.zeros(n, np.uint64)
+    for k in range(min(WIDE_SHINGLE, len(h))):
+        x = (x + h[k : k + n]) * _MIX
+    return np.unique(x ^ (x >> np.uint64(32)))
+
+
+def prefix(n: int) -> int:
+    """Of n shingles in an order that all texts share, how many come first such that any two similar texts have one of these in common."""
+    return n - -(-SIM[0] * n // SIM[1]) + 1 if n else 0
+
+
+def _posts(rows: DataFrame, late: np.ndarray) -> DataFrame:
+    """Rows (key, text) to (post, id, size), a row for each shingle of the prefix; those in `late` (sorted) come last in the order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 128):
+            posts, sizes, counts = [], [], []
+            for x in b.column(1):
+                h = shingles(x.as_py())
+                n = len(h)
+                if n and len(late):
+                    is_late = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h
+                    h = np.concatenate([h[~is_late], h[is_late]])
+                posts.append(h[: prefix(n)])
+                sizes.append(n)
+                counts.append(len(posts[-1]))
+            got = np.concatenate(posts).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(np.repeat(b.column(0).to_numpy(), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts))], ["post", "id", "size"])
+
+    return rows.mapInArrow(run, "post long, id long, size int")
+
+
+def _late(rows: DataFrame, one_in: int = 8, least: int = 4, most: int = 50_000) -> np.ndarray:
+    """Frequent shingles by a sample of texts. Any order of shingles is right; with these last, few unlike texts meet."""
+    seen = _posts(rows.where(F.pmod(F.xxhash64("key"), F.lit(one_in)) == 0), np.zeros(0, np.uint64)).groupBy("post").count()
+    got = [r["post"] for r in seen.where(F.col("count") >= least).orderBy(F.desc("count"), "post").limit(most).collect()]
+    return np.sort(np.array(got, np.int64).view(np.uint64))
+
+
+#: Cells that a text's shingles are counted in by hash; texts can't share more in a cell than the smaller count. FINE: for pairs that are left.
+CELLS, FINE = 128, 1024
+
+
+def _cells(h: np.ndarray, cells: int) -> bytes:
+    """The counts, cut at 255: texts with such a count aren't judged by them."""
+    return np.minimum(np.bincount((h >> np.uint64(65 - cells.bit_length())).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def _counted(rows: DataFrame, cells: int) -> DataFrame:
+    """Rows (key, text) to (id, size, cells)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            got = [shingles(x.as_py()) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in got], pa.int32()), pa.array([_cells(h, cells) for h in got], pa.binary())], ["id", "size", "cells"])
+
+    return rows.mapInArrow(run, "id long, size int, cells binary")
+
+
+#: Bits of the map by which texts are chosen where they lie, so that they needn't be shuffled.
+SLOTS = 1 << 24
+
+
+def _slot(key: str):
+    return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(SLOTS))
+
+
+def _marked(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of `rows` (key, text) that `ids` (key) name, and a few others of the same bit; what others bring is true as well, only not asked for."""
+    bits = ids.groupBy(F.bitmap_bucket_number(_slot("key")).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_slot("key"))).alias("bits"))
+    at = rows.select("key", "text", F.bitmap_bucket_number(_slot("key")).alias("n"), F.bitmap_bit_position(_slot("key")).alias("i"))
+    bit = F.expr("shiftright(cast(conv(hex(substring(bits, cast(i div 8 as int) + 1, 1)), 16, 10) as int), cast(i % 8 as int)) & 1")
+    return at.join(F.broadcast(cut(bits)), "n").where(bit == 1).select("key", "text")
+
+
+def _asked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The `rows` that `pairs` name, and a few others."""
+    return _marked(pairs.select(F.explode(F.array("a", "b")).alias("key")), rows)
+
+
+def _allowed(pairs: DataFrame, rows: DataFrame, cells: int) -> DataFrame:
+    """Those of `pairs` (a, b) that may be similar by the counts of so many cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices([batch], 1024):
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, cells) for i in (3, 5))
+                most = np.minimum(x, y).sum(1, dtype=np.int64)
+                sizes = b.column(2).to_numpy().astype(np.int64) + b.column(4).to_numpy()
+                may = ((SIM[0] + SIM[1]) * most >= SIM[0] * sizes) | (x == 255).any(1) | (y == 255).any(1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(may))
+
+    counts = cut(_counted(_asked(pairs, rows), cells))
+    both = pairs.join(counts.select(F.col("id").alias("a"), F.col("size").alias("n"), F.col("cells").alias("x")), "a").join(counts.select(F.col("id").alias("b"), F.col("size").alias("m"), F.col("cells").alias("y")), "b")
+    return cut(both.select("a", "b", "n", "x", "m", "y").mapInArrow(run, "a long, b long").distinct())
+
+
+def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b) whose texts in `rows` (key, text) have a true similarity of SIM or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 128):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x.as_py()).view(np.int64) for x in b.column(1)], pa.list_(pa.int64()))], ["key", "h"])
+
+    pairs = _allowed(pairs, rows, FINE)
+    sets = cut(_asked(pairs, rows).mapInArrow(run, "key long, h array<long>"))
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("h").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where((SIM[0] + SIM[1]) * shared >= SIM[0] * (F.size("x") + F.size("y"))).select("a", "b").distinct()
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (post, pair, id, size, root, cells), each posting's together, to pairs (a, b) of different roots that may be similar."""
+    held: list[tuple] = []
+    last = None
+
+    def out():
+        ids, sizes, roots = (np.array(c, np.int64) for c in list(zip(*held, strict=True))[:3])
+        cells = np.frombuffer(b"".join(x[3] for x in held), np.uint8).reshape(-1, CELLS)
+        full = (cells == 255).any(1)
+        a, b = [], []
+        for i in range(len(ids) - 1):
+            n, m = sizes[i], sizes[i + 1 :]
+            js = np.flatnonzero((roots[i + 1 :] != roots[i]) & (ids[i + 1 :] != ids[i]) & (SIM[1] * np.minimum(n, m) >= SIM[0] * np.maximum(n, m))) + i + 1
+            most = np.minimum(cells[js], cells[i]).sum(1, dtype=np.int64)
+            js = js[((SIM[0] + SIM[1]) * most >= SIM[0] * (n + sizes[js])) | full[i] | full[js]]
+            a.append(np.minimum(ids[js], ids[i]))
+            b.append(np.maximum(ids[js], ids[i]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    for batch in batches:
+        for b in slices([batch], 1024):
+            for post, pair, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (post, pair) != last:
+                    if len(held) > 1:
+                        yield out()
+                    held, last = [], (post, pair)
+                held.append(tuple(row))
+    if len(held) > 1:
+        yield out()
+
+
+def overlap_links(rows: DataFrame, split: int = 1000) -> DataFrame:
+    """(a, b): keys of `rows` (key, text), enough of them to join all pairs of similarity SIM or more, and none below it.
+
+    Any such pair has a shingle of both prefixes in common. In each posting the texts are first compared with its
+    smallest key, which joins large groups of near copies; then all pairs that this left in different components, if
+    the counts of their cells allow it. Postings above `split` texts are dealt over pairs of blocks.
+    """
+    alike = lambda a, b: SIM[1] * F.least(a, b) >= SIM[0] * F.greatest(a, b)
+    in_post = W.partitionBy("post")
+    posted = _posts(rows, _late(rows)).withColumn("first", F.min(F.struct("id", "size")).over(in_post)).withColumn("last", F.max("id").over(in_post))
+    met = cut(posted.where(F.col("first.id") < F.col("last")).select("post", "id", "size", "first"))
+    star = cut(met.where(F.col("id") > F.col("first.id")).where(alike(F.col("size"), F.col("first.size"))).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct())
+    found = cut(_verified(_allowed(star, rows, CELLS), rows))
+    roots = components(found)
+    named = met.select("post", "id", "size").join(roots, "id", "left").select("post", "id", "size", F.coalesce("root", "id").alias("root"))
+    mixed = named.withColumn("low", F.min("root").over(in_post)).withColumn("high", F.max("root").over(in_post)).withColumn("blocks", F.ceil(F.count("*").over(in_post) / split).cast("int")).where("low < high")
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(mine, o) * F.col("blocks") + F.greatest(mine, o))
+    mixed = cut(mixed.select("post", F.explode(pair).alias("pair"), "id", "size", "root"))
+    cells = _counted(_marked(mixed.select(F.col("id").alias("key")), rows), CELLS).select("id", "cells")
+    dealt = mixed.join(cells, "id").select("post", "pair", "id", "size", "root", "cells").repartition("post", "pair").sortWithinPartitions("post", "pair")
+    rest = dealt.mapInArrow(_candidates, "a long, b long").distinct()
+    rest = cut(rest.join(star, ["a", "b"], "left_anti"))
+    return found.unionByName(_verified(rest, rows))
+
+
+def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, component): components over both kinds of links, those of `near_duplicates` and those of `overlap_links`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for b in slices(batches):
+            texts = b.column(1).to_pylist()
+            narrow = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            words = [xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(narrow), pa.array(words, pa.binary())], ["key", "fp", "words"])
+
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).where("key is not null")
+    got = cut(rows.mapInArrow(run, "key long, fp long, words binary"))
+    # a row for the same words: copies are one from here on
+    nodes = cut(got.groupBy("fp", "words").agg(F.min("key").alias("id"), F.count("*").alias("n")))
+    own = got.select("key", F.xxhash64("fp", "words").alias("node"))
+    narrow = nodes.groupBy("fp").agg(F.min("id").alias("id"))
+    same = nodes.join(narrow.select("fp", F.col("id").alias("b")), "fp").select(F.col("id").alias("a"), "b")
+    once = _marked(nodes.select(F.col("id").alias("key")), rows)
+    roots = components(links(narrow).unionByName(overlap_links(once)).unionByName(same))
+    named = nodes.join(roots, "id", "left").select(F.xxhash64("fp", "words").alias("node"), "n", F.coalesce("root", "id").alias("component"))
+    return hot_join(own, named, "node", "n", got.count()).select("key", "component")
+
+
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of `docs` that name their component (by `similar`), one a component; rows of a null key stay. Of repeated rows one stays."""
-    found = cut(similar(docs, text, key))
+    """The rows of `docs` that name their component (by `near_copies`), one a component; rows of a null key stay. Of repeated rows one stays."""
+    found = cut(near_copies(docs, text, key))
     kept = found.where("key = component").select(F.col("key").alias("_kept")).distinct()
     rows = docs.where(F.col(f"`{key}`").isNotNull()).join(kept, F.col(f"`{key}`") == F.col("_kept"), "left_semi")
     again = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_again"))

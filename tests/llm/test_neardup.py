@@ -127,3 +127,69 @@ def test_wide_splits_agree(spark, docs):
     nodes = spark.createDataFrame([(r["doc_id"], bytearray(neardup.wide_fingerprint(r["text"]))) for r in docs.collect()] + [(5000 + i, bytearray(neardup.wide_fingerprint("a b c d e f g h i j k l m n o p q r s t u v w x y z " * 3 + str(i)))) for i in range(40)], "id long, wide binary")
     a, b = ({r["id"]: r["root"] for r in neardup.components(neardup.wide_links(nodes, s)).collect()} for s in (20_000, 5))
     assert a == b and len(a) >= 40
+
+
+def jaccard_closure(texts, keys):
+    """Components of every pair that shares 0.8 of its five-word shingles or is within 4 bits, by brute force over the words themselves."""
+    narrow, sets = brute(texts), []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = set()
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            near = shared and 10 * shared >= 8 * (len(sets[i]) + len(sets[j]) - shared)
+            if near:
+                pairs.add((keys[j], keys[i]))
+            if near or (narrow[i] ^ narrow[j]).bit_count() <= 4:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [keys[find(i)] for i in range(len(texts))], pairs
+
+
+def edited(rng):
+    """Texts of 40 to 400 words, each with copies of which one word in 10 to 60 is changed: similarities on both sides of 0.8."""
+    out = []
+    for n in (40, 90, 150, 250, 400):
+        for _ in range(8):
+            w = [f"w{x}" for x in rng.integers(0, 5000, n)]
+            out.append(w)
+            for gap in (10, 20, 30, 38, 42, 46, 50, 60):
+                out.append([f"e{rng.integers(0, 10**9)}" if j % gap == 5 else x for j, x in enumerate(w)])
+    return [" ".join(w) for w in out]
+
+
+def test_overlap_links_equal_brute_force(spark):
+    texts = edited(np.random.default_rng(3))
+    keys = list(range(len(texts)))
+    want, pairs = jaccard_closure(texts, keys)
+    df = spark.createDataFrame(list(zip(keys, texts, strict=True)), "doc_id long, text string")
+    assert {r["key"]: r["component"] for r in neardup.near_copies(df).collect()} == dict(zip(keys, want, strict=True))
+    got = {(min(r), max(r)) for r in neardup.overlap_links(df.withColumnRenamed("doc_id", "key")).collect()}
+    assert pairs and got <= pairs
+    dealt = neardup.components(neardup.overlap_links(df.withColumnRenamed("doc_id", "key"), 3)).collect()
+    assert dealt and {r["id"]: r["root"] for r in dealt} == {r["id"]: r["root"] for r in neardup.components(neardup.overlap_links(df.withColumnRenamed("doc_id", "key"))).collect()}
+
+
+def test_overlap_links_with_frequent_shingles(spark, monkeypatch):
+    line = " ".join(f"common{i}" for i in range(12))
+    texts = [line + " " + t for t in edited(np.random.default_rng(4))[:180]]
+    keys = list(range(len(texts)))
+    late = np.sort(neardup.shingles(line))
+    monkeypatch.setattr(neardup, "_late", lambda rows: late)
+    df = spark.createDataFrame(list(zip(keys, texts, strict=True)), "doc_id long, text string")
+    assert {r["key"]: r["component"] for r in neardup.near_copies(df).collect()} == dict(zip(keys, jaccard_closure(texts, keys)[0], strict=True))
+
+
+def test_deduplication_keeps_one_of_each_true_near_copy(docs):
+    rows = docs.orderBy("doc_id").collect()
+    roots, _ = jaccard_closure([r["text"] for r in rows], [r["doc_id"] for r in rows])
+    assert sorted(r["doc_id"] for r in neardup.deduplicated(docs).collect()) == sorted(set(roots))
