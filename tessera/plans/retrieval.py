@@ -107,6 +107,13 @@ def prompt_context(spark, sf_dir):
     return search.assemble(got.join(d, "key").withColumnRenamed("query_id", "question_id")).select("question_id", F.md5("prompt_context").alias("context_md5"))
 
 
+def prompt_context_whole(spark, sf_dir):
+    """prompt_context over whole texts: the budget of `assemble` is the only cut. prompt_context keeps previews of 350 characters, as its SQL does."""
+    got = search.search_sparse(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 3)
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("source_file"), F.col("text").alias("content"))
+    return search.assemble(got.join(d, "key").withColumnRenamed("query_id", "question_id")).select("question_id", F.md5("prompt_context").alias("context_md5"))
+
+
 RULES = [(1, ["thing", "onth"], 2), (2, ["ation"], 1), (3, ["der", "und", "ein"], 2)]
 
 
@@ -165,4 +172,4 @@ SQL = {
     "rank_probe": f"WITH {_bm25(PLAIN)} SELECT query_id, min(rank) AS rank FROM s JOIN documents d2 ON d2.doc_id = s.doc_id WHERE source = 'src3' AND rank <= 2000 GROUP BY 1",
 }
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered, bm25_stemmed, term_statistics, dense_topk, dense_topk_dim32, dense_filtered, rrf_fusion, minmax_fusion, phrase_boost, rerank_overlap, sibling_context, context_budget, prompt_context, rule_router, rank_probe)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered, bm25_stemmed, term_statistics, dense_topk, dense_topk_dim32, dense_filtered, rrf_fusion, minmax_fusion, phrase_boost, rerank_overlap, sibling_context, context_budget, prompt_context, prompt_context_whole, rule_router, rank_probe)}
