@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import zlib
 from base64 import b32encode
 from collections import Counter
 
@@ -79,6 +80,47 @@ def test_broken_archives_are_errors():
         list(warc.records(gzip.compress(b"WARC/1.1\r\nContent-Length: 99\r\n\r\nabc")))
     with pytest.raises(ValueError, match="no record"):
         list(warc.records(gzip.compress(b"junk\r\n")))
+    with pytest.raises(ValueError, match="header"):
+        list(warc.records(gzip.compress(b"WARC/1.1\r\nContent-Length: 3\r\n")))
+
+
+def test_a_cut_archive_is_an_error_wherever_it_is_cut():
+    one = b"WARC/1.1\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n"
+    for data, whole in ((gzip.compress(one * 50), {0}), (gzip.compress(one) * 3, {0, len(gzip.compress(one)), 2 * len(gzip.compress(one))})):
+        assert len(list(warc.records(data))) in (3, 50)
+        for n in range(len(data)):
+            if n in whole:  # the end of a member is an end
+                list(warc.records(data[:n]))
+            else:
+                with pytest.raises((ValueError, zlib.error)):
+                    list(warc.records(data[:n]))
+
+
+def test_output_is_held_a_step_at_a_time():
+    one = b"WARC/1.1\r\nContent-Length: 30000000\r\n\r\n" + bytes(30_000_000) + b"\r\n\r\n"
+    flow = warc.Stream(gzip.compress(one) + bytes(100) + gzip.compress(one), step=1 << 16)
+    most = n = 0
+    for _, _, size in warc.heads(flow):
+        for piece in flow.pieces(size):
+            n += len(piece)
+            most = max(most, len(flow.buffer) + len(piece))
+    assert n == 60_000_000 and most <= 2 << 16
+
+
+def test_equal_pages_without_any_id_keep_their_payloads(spark):
+    df = spark.createDataFrame([(None, "a", "same"), (None, "b", "same"), (None, "c", "x"), (2, "d", "x")], "page_id long, url string, html string")
+    _, out = archive(spark, df)
+    got = sorted((r["url"], r["record_type"], r["refers_to"], r["html"]) for r in warc.read(spark, out).collect())
+    assert got == [("a", "response", None, "same"), ("b", "response", None, "same"), ("c", "revisit", 2, None), ("d", "response", None, "x")]
+
+
+def test_long_archives_are_read_in_stretches_and_stores_without_streams_whole(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "u", f"page {i} " * i) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    monkeypatch.setattr(warc, "_reached", lambda folder: False)
+    _, out = archive(spark, df)
+    got = warc.read(spark, out, per_task=500)
+    assert got.rdd.getNumPartitions() > 4
+    assert {r["page_id"]: r["html"] for r in got.collect()} == {i: f"page {i} " * i for i in range(40)}
 
 
 def test_empty(spark):
