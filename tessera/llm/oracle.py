@@ -20,11 +20,11 @@ _KNOWN = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in li
 
 SQL: dict[str, str] = {
     "op1_maxscore_topk": """
-        WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+        WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-        s AS (SELECT q.vec_id AS query_id, v.vec_id, coalesce(list_sum(list_transform(list_zip(q.w, v.w), lambda z: coalesce(z[1] * z[2], 0))), 0)::BIGINT AS score
-            FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
-        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+        s AS (SELECT q.r, q.vec_id AS query_id, v.vec_id, coalesce(list_sum(list_transform(list_zip(q.w, v.w), lambda z: coalesce(z[1] * z[2], 0))), 0)::BIGINT AS score
+            FROM v q JOIN v ON q.r <> v.r WHERE q.vec_id % 50 = 0)
+        SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
         FROM s QUALIFY rank <= 5""",
     "op3_license_scan": f"""
         WITH lic AS (SELECT digest, min(id) AS license_id FROM (SELECT id, sha256({_canonical('body')}) AS digest FROM (VALUES {_KNOWN}) v(id, body)) GROUP BY digest),
