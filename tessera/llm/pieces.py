@@ -1,22 +1,27 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
 Merges come from an agenda, best score first and leftmost among equals. A candidate that comes up is skipped
-for good if a hash of (seed, variant, unit, its place, its piece) falls under `dropout`; what its neighbours
-become may put other candidates on the agenda. The pieces left are those of the vocabulary, others fall back
-to bytes, so every segmentation decodes to the text it came from. dropout 0 gives the library's own ids.
+for good if a hash of (seed, document, unit's place in the text, candidate's place in the unit, its length and piece)
+falls under `dropout`; what its neighbours become may put other candidates on the agenda. So every occurrence of
+every word has draws of its own. The pieces left are those of the vocabulary, others fall back to bytes, so every
+segmentation decodes to the text it came from. dropout 0 gives the library's own ids.
 
 A text is cut where no piece of the vocabulary can reach across (before blanks, around line ends); the units
-are encoded apart. Each unit's place in a text picks one of `variants` draws by a hash of (seed, document,
-place), so that a worker can keep the ids of `cached` units, and forgets them all when there are more.
+are encoded apart. The agenda of a unit is a tree: a node has the ids that come of it when nothing more is skipped and
+the candidates that come up on that way; skipping one of these leads to a child. Nodes are made as they are asked for,
+many at a time, and kept by a worker up to `cached` units and `nodes` nodes; then it forgets all of them. An occurrence
+draws for a node's candidates until its first skip, goes to that child, and so on: what is kept changes no result.
 
 A null text has no ids and decodes to the empty text; an empty text has none either; rows are encoded apart,
-repeated ones alike; a literal U+2581 becomes bytes, so it isn't read as a blank.
+repeated ones alike; a literal U+2581 becomes bytes, so it isn't read as a blank. A null id is a key like any other.
+Units of over `SHORT` characters, as in very long texts without blanks, go through an agenda of their own each. An empty
+table gives no rows; columns other than the id and the text play no part, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 
@@ -24,8 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
-
 from tessera.llm.common import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -52,8 +55,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Dropout:
     rate: float = 0.1
     seed: int = 1
-    variants: int = 8
     cached: int = 250_000
+    nodes: int = 1_000_000
 
 
 def load(path: str = MODEL) -> list[tuple[str, float, bool]]:
@@ -96,6 +99,36 @@ class Pairs:
         return out
 
 
+class Grown:
+    """An array that is added to; `all` is what it holds."""
+
+    def __init__(self, kind) -> None:
+        self.room, self.size = np.zeros(1024, kind), 0
+
+    def __len__(self) -> int:
+        return self.size
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.size]
+
+    def add(self, new: np.ndarray) -> None:
+        if (more := self.size + len(new)) > len(self.room):
+            self.room = np.r_[self.all, np.zeros(max(more, len(self.room) * 3 // 2) - self.size, self.room.dtype)]
+        self.room[self.size : more] = new
+        self.size = more
+
+
+def masked(mask: int) -> Callable[[int, int], bool]:
+    """Skips at the steps whose bits are set."""
+    return lambda step, code: bool(mask >> step & 1)
+
+
+def drawn_by(key: int, limit: int) -> Callable[[int, int], bool]:
+    """Skips by an occurrence's draws."""
+    return lambda step, code: (code * key + (key >> 1) & _M) < limit
+
+
 class Units(dict):
     """Numbers of units, given as they are asked for."""
 
@@ -140,29 +173,78 @@ class Encoder:
         # a unit: blanks and what follows up to the next blank; the whole text where pieces reach across blanks
         self.unit = re.compile(r"(?s).+" if inner else r" *[^ ]+| +" if lines else r"\n| *[^ \n]+| +")
         self.limit = min(int(self.dropout.rate * 2**64), _M)
-        self.keys = [mix(self.dropout.seed * 0x9E3779B97F4A7C15 + k & _M) for k in range(self.dropout.variants if self.limit else 1)]
         self._forget()
 
     def _forget(self) -> None:
-        """Empties what is kept: the units' numbers, and by number and variant where in `data` its ids are."""
-        self.known, self.used = Units(), 0
-        self.start, self.size, self.data = np.zeros(1 << 16, np.int32), np.full(1 << 16, -1, np.int32), np.zeros(1 << 16, np.int32)
-
-    def many(self, units: list[str], variants: list[int]) -> list[bytes]:
-        """The ids of units under variants, as packed 32-bit numbers; all agendas move a step at a time."""
+        """Empties what is kept: the units' numbers and roots, the nodes, their ids and candidates."""
+        self.known, self.root = Units(), Grown(np.int32)
+        #: by node: its unit, its skips as bits by agenda step, the step of its first candidate, where its ids and candidates are
+        self.unit_of, self.mask, self.low, self.id_at, self.id_n, self.at, self.n = (Grown(t) for t in (np.int32, np.uint64, np.int64, np.int64, np.int64, np.int64, np.int64))
+        #: of all nodes: ids; candidates, and the child that skipping one leads to (-1 unmade, -2 beyond the bits)
+        self.data, self.codes, self.child = Grown(np.int32), Grown(np.uint64), Grown(np.int32)
+
+    def _add(self, numbers: np.ndarray, masks: np.ndarray, lows: np.ndarray) -> np.ndarray:
+        """Makes nodes of units (by number) with the given skips; gives their numbers."""
+        got, codes, n = self.many([self.known.names[i] for i in numbers.tolist()], masks, lows)
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        first = len(self.mask)
+        for kept, new in ((self.unit_of, numbers), (self.mask, masks), (self.low, lows), (self.id_at, len(self.data) + np.cumsum(size) - size), (self.id_n, size), (self.at, len(self.codes) + np.cumsum(n) - n), (self.n, n)):
+            kept.add(new)
+        self.data.add(np.frombuffer(b"".join(got), np.int32))
+        self.codes.add(codes)
+        self.child.add(np.full(len(codes), -1, np.int32))
+        return np.arange(first, first + len(numbers))
+
+    def _children(self, spots: np.ndarray) -> None:
+        """Makes the children that skipping the candidates at `spots` leads to."""
+        parent = np.searchsorted(self.at.all, spots, side="right") - 1
+        step = self.low.all[parent] + spots - self.at.all[parent]
+        fits = step < 64
+        self.child.all[spots[~fits]] = -2
+        spots, parent, step = spots[fits], parent[fits], step[fits]
+        if len(spots):
+            self.child.all[spots] = self._add(self.unit_of.all[parent], self.mask.all[parent] | np.uint64(1) << step.astype(np.uint64), step + 1)
+
+    def _follow(self, node: np.ndarray, key: np.ndarray) -> None:
+        """Moves occurrences from their units' roots (in `node`) to where their draws lead; -2 where bits don't reach."""
+        limit, active = np.uint64(self.limit), np.arange(len(node))
+        while len(active):
+            n = self.n.all[node[active]]
+            stop = np.cumsum(n)
+            spot = np.repeat(self.at.all[node[active]] - stop + n, n) + np.arange(stop[-1])
+            k = np.repeat(key[active], n)
+            skip = np.flatnonzero(self.codes.all[spot] * k + (k >> np.uint64(1)) < limit)
+            if not len(skip):
+                return
+            whose = np.searchsorted(stop, skip, side="right")
+            first = np.r_[True, whose[1:] != whose[:-1]]
+            whose, spot = whose[first], spot[skip[first]]
+            if len(new := np.unique(spot[self.child.all[spot] == -1])):
+                self._children(new)
+            to = self.child.all[spot]
+            node[active[whose]] = to
+            active = active[whose][to >= 0]
+
+    def many(self, units: list[str], masks: np.ndarray, lows: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Of units whose agenda skips the steps in `masks`: packed 32-bit ids; the candidates from step `lows` on; how many each has.
+
+        All agendas move a step at a time.
+        """
         out: list[bytes] = [b""] * len(units)
         by_size: dict[int, list[int]] = {}
+        seen: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
         for n, u in enumerate(units):
             if len(u) > SHORT:
-                out[n] = self.one(u, variants[n])
+                out[n] = self.one(u, masked(int(masks[n])))
             else:
                 by_size.setdefault(max(4, len(u) + 3 & ~3), []).append(n)
         for width, rows in by_size.items():
             for i in range(0, len(rows), 1 << 16):
-                self._step(width, rows[i : i + (1 << 16)], units, variants, out)
-        return out
+                self._step(width, rows[i : i + (1 << 16)], units, masks, lows, out, seen)
+        whose, codes = (np.concatenate(c) for c in zip(*seen, strict=True))
+        return out, codes[np.argsort(whose, kind="stable")], np.bincount(whose, minlength=len(units))
 
-    def _step(self, width: int, rows: list[int], units: list[str], variants: list[int], out: list[bytes]) -> None:
+    def _step(self, width: int, rows: list[int], units: list[str], masks: np.ndarray, lows: np.ndarray, out: list[bytes], seen: list) -> None:
         none, look, cols = Pairs.NONE, self.pairs.look, width + 2
         texts = [units[n] for n in rows]
         points = np.frombuffer("".join([u.ljust(width, "\0") for u in texts]).encode("utf-32-le"), np.uint32).reshape(-1, width)
@@ -174,9 +256,9 @@ class Encoder:
         rank[:, 1:-2] = look(sym[:, 1:-2].ravel(), sym[:, 2:-1].ravel()).reshape(len(rows), width - 1)
         after = np.tile(np.arange(1, cols + 1, dtype=np.int32), (len(rows), 1))
         ahead = np.tile(np.arange(-1, cols - 1, dtype=np.int32), (len(rows), 1))
-        limit, merged = np.uint64(self.limit), self.merged
-        key = np.array([xxh64_intdigest(u.encode(), self.keys[variants[n]]) | 1 for n, u in zip(rows, texts, strict=True)], np.uint64) if self.limit else np.ones(len(rows), np.uint64)
-        half, number = key >> np.uint64(1), np.arange(len(rows))
+        merged, number, step = self.merged, np.arange(len(rows)), 0
+        own = np.array(rows)
+        mask, low_step = masks[own], lows[own]
         done = [None] * len(rows)
 
         def finish(which: np.ndarray) -> None:
@@ -185,7 +267,7 @@ class Encoder:
             ends = np.cumsum((part != -2).sum(1))
             if (flat < 0).any() or (flat >= len(self.vocab)).any():
                 for r, n in zip(which, number[which], strict=True):
-                    done[n] = self.one(texts[n], variants[rows[n]]) if ((sym[r] == -1) | (sym[r] >= len(self.vocab))).any() else sym[r][sym[r] != -2].tobytes()
+                    done[n] = self.one(texts[n], masked(int(masks[rows[n]]))) if ((sym[r] == -1) | (sym[r] >= len(self.vocab))).any() else sym[r][sym[r] != -2].tobytes()
                 return
             data = flat.tobytes()
             for n, a, b in zip(number[which].tolist(), np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
@@ -197,7 +279,7 @@ class Encoder:
             rest = low != none
             if rest.mean() < 0.75:
                 finish(np.flatnonzero(~rest))
-                sym, rank, after, ahead, key, half, number, best, low = (x[rest] for x in (sym, rank, after, ahead, key, half, number, best, low))
+                sym, rank, after, ahead, mask, low_step, number, best, low = (x[rest] for x in (sym, rank, after, ahead, mask, low_step, number, best, low))
                 if not len(number):
                     break
                 act = np.arange(len(number))
@@ -209,12 +291,15 @@ class Encoder:
             at = base + best
             right = base + nx[at]
             far = nx[right]
-            if limit:
+            if self.limit:
+                open_ = low_step[act] <= step
                 candidate = (best.astype(np.uint64) - np.uint64(1)) << np.uint64(40) | (far - best).astype(np.uint64) << np.uint64(20) | low.astype(np.uint64)
-                skip = candidate * key[act] + half[act] < limit
+                seen.append((own[number[act[open_]]], candidate[open_]))
+                skip = (mask[act] >> np.uint64(step) & np.uint64(1)).astype(bool) if step < 64 else np.zeros(len(act), bool)
                 r[at[skip]] = none
                 go = ~skip
                 base, at, right, far, best, low = base[go], at[go], right[go], far[go], best[go], low[go]
+                step += 1
             s[at] = merged[low]
             s[right], r[right] = -2, none
             nx[at] = far
@@ -225,12 +310,11 @@ class Encoder:
         for n, x in zip(rows, done, strict=True):
             out[n] = x
 
-    def one(self, unit: str, variant: int) -> bytes:
-        """A unit's ids as packed 32-bit numbers; `many` gives the same for many units at a time."""
+    def one(self, unit: str, skips: Callable[[int, int], bool] | None = None) -> bytes:
+        """A unit's ids as packed 32-bit numbers; skips: whether the candidate that comes up at a step is skipped."""
         # a literal block sign can't merge: it stands as an empty symbol until bytes are made of it
         text = ["" if c == BLANK else BLANK if c == " " else c for c in unit]
-        rank, limit = self.rank, self.limit
-        key = xxh64_intdigest(unit.encode(), self.keys[variant]) | 1
+        rank, step = self.rank, -1
         n = len(text)
         after, ahead = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = []
@@ -242,7 +326,8 @@ class Encoder:
             p, i, j, size = heappop(agenda)
             if not text[i] or after[i] != j or len(text[i]) + len(text[j]) != size or not text[j]:
                 continue
-            if limit and ((i << 40 | size << 20 | p) * key + (key >> 1) & _M) < limit:
+            step += 1
+            if skips is not None and skips(step, i << 40 | size << 20 | p):
                 continue
             text[i] += text[j]
             text[j] = ""
@@ -265,36 +350,41 @@ class Encoder:
             i = after[i]
         return np.array(out, np.int32).tobytes()
 
-    def encode_all(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray]:
-        """The ids of texts; a key is its document's, so that equal words are cut unlike in different texts."""
-        v, seed = len(self.keys), self.dropout.seed * 0x9E3779B97F4A7C15
-        if len(self.known) > self.dropout.cached:
+    def encode_all(self, texts: list[str | None], keys: list[int], piece: int = 1 << 18) -> list[np.ndarray]:
+        """The ids of texts; a key is its document's, so that equal words are cut unlike in different texts and places."""
+        seed = self.dropout.seed * 0x9E3779B97F4A7C15
+        if len(self.known) > self.dropout.cached or len(self.mask) > self.dropout.nodes:
             self._forget()
-        units, ends, which = [], [0], [np.zeros(0, np.int64)]
+        units, ends, drawn = [], [0], [np.zeros(0, np.uint64)]
         for t, key in zip(texts, keys, strict=True):
             if t:
                 units += self.unit.findall(" " + t)
             n, base = len(units) - ends[-1], np.uint64(mix((seed ^ mix(key & _M)) & _M))
-            which.append((mixed(np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + base) % np.uint64(v)).astype(np.int64))
+            drawn.append(mixed(np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + base) | np.uint64(1))
             ends.append(len(units))
-        slot = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units)) * v + np.concatenate(which)
-        if (more := len(self.known) * v - len(self.size)) > 0:
-            more = max(more, len(self.size) // 4)
-            self.start, self.size = np.r_[self.start, np.zeros(more, np.int32)], np.r_[self.size, np.full(more, -1, np.int32)]
-        todo = np.unique(slot[self.size[slot] < 0])
+        number, draw, out = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units)), np.concatenate(drawn), [np.zeros(0, np.int32)]
+        self.root.add(np.full(len(self.known) - len(self.root), -1, np.int32))
+        todo = np.unique(number[self.root.all[number] < 0])
         if len(todo):
-            got = self.many([self.known.names[i] for i in (todo // v).tolist()], (todo % v).tolist())
-            new = np.frombuffer(b"".join(got), np.int32)
-            size = np.fromiter(map(len, got), np.int64, len(got)) // 4
-            if self.used + len(new) > len(self.data):
-                self.data = np.r_[self.data, np.zeros(max(len(new), len(self.data) // 4), np.int32)]
-            self.data[self.used : self.used + len(new)] = new
-            self.start[todo], self.size[todo] = self.used + np.cumsum(size) - size, size
-            self.used += len(new)
-        size = self.size[slot].astype(np.int64)
-        stop = np.cumsum(size)
-        ids = self.data[np.repeat(self.start[slot].astype(np.int64) - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
-        edge = np.r_[0, stop][ends]
+            self.root.all[todo] = self._add(todo, np.zeros(len(todo), np.uint64), np.zeros(len(todo), np.int64))
+        sizes = [np.zeros(0, np.int64)]
+        for i in range(0, len(units), piece):
+            node, key, extra = self.root.all[number[i : i + piece]].astype(np.int64), draw[i : i + piece], Grown(np.int32)
+            if self.limit:
+                self._follow(node, key)
+                node[np.fromiter((len(u) > SHORT for u in units[i : i + piece]), bool, len(node))] = -2
+            alone = np.flatnonzero(node == -2)
+            size, at = self.id_n.all[node], self.id_at.all[node]
+            for j in alone.tolist():
+                got = np.frombuffer(self.one(units[i + j], drawn_by(int(key[j]), self.limit)), np.int32)
+                size[j], at[j] = len(got), len(self.data) + len(extra)
+                extra.add(got)
+            data = np.concatenate([self.data.all, extra.all]) if len(alone) else self.data.all
+            stop = np.cumsum(size)
+            out.append(data[np.repeat(at - stop + size, size) + np.arange(stop[-1])])
+            sizes.append(size)
+        ids = np.concatenate(out)
+        edge = np.r_[0, np.cumsum(np.concatenate(sizes))][ends]
         return [ids[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
     def encode(self, text: str | None, key: int = 0) -> np.ndarray:
@@ -307,9 +397,16 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def _encoder(vocab, dropout: Dropout) -> Encoder:
-    """A worker's encoder, kept over its tasks."""
-    key = (len(vocab), hash(tuple(vocab[:400])), hash(tuple(vocab[-400:])), dropout)
+def digest(vocab) -> str:
+    """Of a whole vocabulary."""
+    from xxhash import xxh3_128_hexdigest
+
+    return xxh3_128_hexdigest(repr(vocab).encode())
+
+
+def _encoder(vocab, named: str, dropout: Dropout) -> Encoder:
+    """A worker's encoder for the vocabulary of that digest, kept over its tasks."""
+    key = (named, dropout)
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = Encoder(vocab, dropout)
@@ -322,10 +419,11 @@ def encoded(docs: DataFrame, dropout: Dropout = Dropout(), model: str = MODEL, t
     The model is read on the driver; its pieces, a table of fixed size, go to the workers with the function.
     """
     vocab = load(model)
+    named = digest(vocab)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(vocab, dropout)
+        e = _encoder(vocab, named, dropout)
         for b in slices(batches, 256):
             texts = [t or "" for t in b.column(2).to_pylist()]
             ids = e.encode_all(texts, [k or 0 for k in b.column(1).to_pylist()])
@@ -340,10 +438,11 @@ def encoded(docs: DataFrame, dropout: Dropout = Dropout(), model: str = MODEL, t
 
 def decoded(tokens: DataFrame, model: str = MODEL, ids: str = "ids", key: str = "doc_id") -> DataFrame:
     """(key, text) of rows with ids; null ids give the empty text."""
-    vocab, kind = load(model), tokens.schema[key].dataType.simpleString()
+    vocab = load(model)
+    named, kind = digest(vocab), tokens.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(vocab, Dropout())
+        e = _encoder(vocab, named, Dropout())
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([e.decode(x.as_py() or []) for x in b.column(1)], pa.string())], ["key", "text"])
 
