@@ -10,9 +10,11 @@ _FORM = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijk
 
 
 def _canonical(text: str) -> str:
-    out = f"regexp_replace({_FORM.format(text)}, '{licenses.COPYRIGHT_LINE}', '', 'g')"
+    out = f"translate({_FORM.format(text)}, '{licenses.TYPOGRAPHY}', '{' ' * len(licenses.TYPOGRAPHY)}')"
     for a, b in licenses.SPELLINGS:
         out = f"replace({out}, '{a}', '{b}')"
+    out = f"regexp_replace({out}, '{licenses.TITLE}', '')"
+    out = rf"regexp_replace(regexp_replace({out}, '{licenses.COPYRIGHT}', '\1', 'g'), '{licenses.RESERVED}', '', 'g')"
     return rf"trim(regexp_replace({out}, '[\x00-/:-@\[-`{{-\x7f]+', ' ', 'g'), ' ')"
 
 
