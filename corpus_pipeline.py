@@ -1,4 +1,11 @@
-"""The corpus pipeline: quality rules, near-duplicates, secrets, source weights, token ids, each a stage over all rows."""
+"""The corpus pipeline: quality rules, near-duplicates, secrets, source weights, token ids, each a stage over all rows.
+
+Odd rows: null and blank texts have no words, so the first stage drops them; a null id stays through all stages (it
+names no component, is mixed by its size, and its row of ids has a null id); repeated rows are one document to the
+near-duplicate stage, which keeps one; very long texts go through whole; extra columns are carried along, whatever
+their names, up to the last stage; an empty table gives empty stages. The folders that `run` writes to stay in the
+shared folder, as its result is read from the last one.
+"""
 
 from __future__ import annotations
 
@@ -26,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets become a mark; no document goes."""
-    return _counted(secrets.redact(docs))
+    return _counted(secrets.redact(docs, secrets.train(secrets.sample() + secrets.labelled(docs))))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

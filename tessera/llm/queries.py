@@ -67,7 +67,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans")
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(secrets.sample() + secrets.labelled(docs))).select("doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_maxscore_topk, op2_sentencepiece, op3_license_scan, op4_kneser_ney, op5_shard_documents, op6_simhash_dedup, op7_quality_rules, op8_mix_sources, op9_warc, op10_secret_scan)}

@@ -1,12 +1,16 @@
 """Secret scans: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
-Kinds of spans, in order: assign, access, hex (patterns) and random (the models). A random span is a run of at
-least `least` characters of `[A-Za-z0-9+/_=-]` that overlaps no pattern's span and whose characters are more
+Kinds of spans, in order: assign, access, hex (patterns) and random (the models). A random span is what the patterns'
+spans leave of a run of `[A-Za-z0-9+/_=-]`, if that is at least `least` characters and its characters are more
 likely under the model of random strings than under that of ordinary identifiers, by `per_char` a character
 and `total` in all (natural logarithms). Spans count code points, ends are exclusive.
 
+The models learn from labelled strings: those of `sample`, made by rule, and those of `labelled`, which come from the
+documents: values that a pattern found are secrets, other runs are ordinary.
+
 A null text is empty and has no spans; repeated rows are scanned apart; texts are scanned whole, whatever
-their length; other columns stay.
+their length; other columns stay in `redact` and play no part in `scan`, whatever their names; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices
+from tessera.llm.common import cut, slices
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -64,8 +68,8 @@ class Ratio:
 
 
 def sample(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
-    """A bounded labelled sample, made by rule: (text, 1) random strings of common alphabets, (text, 0) identifiers."""
-    rng, out = random.Random(seed), []
+    """A bounded labelled sample, made by rule: (text, 1) random strings of common alphabets, (text, 0) identifiers and rulers of one character."""
+    rng, out = random.Random(seed), [(c * 400, 0) for c in ALPHABET]
     sets = (ALPHABET[:62], ALPHABET[:64], ALPHABET[:62] + "-_", ALPHABET[26:62], "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdef")
     for i in range(n):
         out.append(("".join(rng.choice(sets[i % 6]) for _ in range(rng.randint(20, 64))), 1))
@@ -74,6 +78,46 @@ def sample(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
     return out
 
 
+def strings(text: str, least: int = 8) -> Iterator[tuple[str, int]]:
+    """Labelled strings of a text: (value, 1) of each pattern's span, (run, 0) of each other run of ALPHABET."""
+    found = patterns(text)
+    for a, k, b in found:
+        yield (ASSIGN.match(text, a).group(1) if k == 0 else text[a:b]), 1
+    for m in re.finditer(rf"[A-Za-z0-9+/_=-]{{{least},}}", text):
+        if not any(s < m.end() and m.start() < e for s, _, e in found):
+            yield m.group(), 0
+
+
+def labelled(docs: DataFrame, most: int = 4000, rows: int = 20_000, seed: int = 3, text: str = "text", key: str = "doc_id") -> list[tuple[str, int]]:
+    """A bounded sample of labelled strings: at most `most` distinct ones of each label, from about `rows` documents.
+
+    Documents are chosen by a hash of id and text, then strings by a hash of their own, so equal tables give equal
+    samples. A string that a pattern found anywhere counts as a secret.
+    """
+    total = docs.count()
+    mark = F.xxhash64(F.lit(seed), F.col(f"`{key}`").cast("string"), F.col(f"`{text}`"))
+    chosen = docs.where(F.pmod(mark, F.lit(1 << 40)) < F.lit(min(1 << 40, (rows << 40) // max(total, 1)))).select(F.col(f"`{text}`").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            got = dict(sorted(x for t in b.column(0) for x in strings(t.as_py() or "")))
+            yield pa.RecordBatch.from_arrays([pa.array(got.keys(), pa.string()), pa.array(got.values(), pa.int32())], ["string", "label"])
+
+    found = cut(chosen.mapInArrow(run, "string string, label int").groupBy("string").agg(F.max("label").alias("label")))
+    out = []
+    for label in (0, 1):
+        out += [(r["string"], label) for r in found.where(F.col("label") == label).orderBy(F.xxhash64(F.lit(seed), "string"), "string").limit(most).collect()]
+    return out
+
+
+def judged(found: list[tuple[str, int]], ratio: Ratio) -> tuple[float, float]:
+    """Precision and recall of the models over labelled strings of at least `least` characters; 1 where there is nothing to find."""
+    held = [x for x in found if len(x[0]) >= ratio.least]
+    s, n, y = scores([t for t, _ in held], ratio), np.array([len(t) for t, _ in held]), np.array([k for _, k in held], bool)
+    hit = (s >= ratio.total) & (s >= ratio.per_char * n)
+    return float((hit & y).sum() / max(hit.sum(), 1)) if hit.any() else 1.0, float((hit & y).sum() / y.sum()) if y.any() else 1.0
+
+
 def train(labelled: list[tuple[str, int]], add: float = 0.3, **limits) -> Ratio:
     """Both models' first-order chains from (text, 1 for random or 0) rows, with `add` for unseen steps."""
     k = len(ALPHABET)
@@ -113,10 +157,13 @@ def spans(texts: list[str], ratio: Ratio) -> list[list[tuple[int, int, int]]]:
     for i, text in enumerate(texts):
         found = patterns(text)
         for m in LONG.finditer(text):
-            a, b = m.span()
-            if b - a >= ratio.least and not any(s < b and a < e for s, _, e in found):
-                runs.append(m.group())
-                where.append((i, a, b))
+            a, end = m.span()
+            # what the patterns' spans leave of the run, in pieces
+            for s, e in [*sorted((s, e) for s, _, e in found if s < end and a < e), (end, end)]:
+                if s - a >= ratio.least:
+                    runs.append(text[a:s])
+                    where.append((i, a, s))
+                a = max(a, e)
         out.append(found)
     for (i, a, b), s in zip(where, scores(runs, ratio), strict=True):
         if s >= ratio.total and s >= ratio.per_char * (b - a):
