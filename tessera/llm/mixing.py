@@ -7,7 +7,9 @@ source, ranked in schedule order, take its blocks in turn, starting anew when th
 
 Rules for odd rows: a null text has size 0, is placed and never taken; a null source is a source of its
 own, last in order; repeated rows are documents of their own; an empty table gives an empty mix. Documents
-of a null id are placed by their text's hash. Ranks never gather a source in one task: see `ranked`.
+of a null id are placed by their size's hash, those of one size next to each other. Very long texts are counted whole and
+span several blocks. Columns other than id, text and source play no part, whatever their names. Ranks never gather a
+source in one task: see `ranked`.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, ranked
+from tessera.llm.common import WORD, cut, ranked
 
 GOLDEN = 0.6180339887498949
 CELLS = 1024
@@ -28,7 +30,7 @@ CELLS = 1024
 class Mix:
     """weights: dealt to the sources in code-point order, repeating; budget: words of the mix by words there are;
     most: how often a source may be taken; block: words of a block; seed: of the shuffle; slot_bucket, doc_bucket:
-    slots and documents that one ranking step holds together."""
+    slots that one ranking step holds together; doc_buckets: parts that a source's documents are ranked in."""
 
     weights: tuple[float, ...] = (3.0, 1.0, 2.0)
     budget: float = 1.5
@@ -76,7 +78,7 @@ def targets(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
 def placed(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """(key, src, s, null_src, size, start, end): where each document lies in its source's shuffled row of words."""
     hashed = sizes.withColumn("h", F.xxhash64(F.lit(mix.seed), "key", "size"))
-    out = ranked(hashed, ["s", "null_src"], ["h", "key", "size"], "start", F.shiftright("h", 52), "size")
+    out = ranked(hashed, ["s", "null_src"], ["h", "key", "size"], "start", F.pmod("h", F.lit(mix.doc_buckets)), "size")
     return out.withColumn("end", F.col("start") + F.col("size")).drop("h")
 
 
@@ -108,7 +110,7 @@ def schedule(per: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 def taken(docs: DataFrame, mix: Mix = Mix(), text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """(key, src, size, source_size, target, taken): a row a document; taken: its words in the mix, repeats counted."""
-    sizes = sized(docs, text, source, key)
+    sizes = cut(sized(docs, text, source, key))  # the texts are read once
     per = targets(sizes, mix)
     # slots that take the same words are one row, with the number of times
     times = schedule(per, mix).groupBy("s", "null_src", "block", "at", "length").agg(F.count("*").alias("times"))
