@@ -2,9 +2,9 @@
 
 Only DataFrame functions run here. Counts follow whole texts; nothing is shuffled.
 A null text is an empty one: no words, no lines, rejected by the base rule. Very long texts are one
-row each and cost in proportion to their length. Repeated rows are judged apart and alike. Other
-columns are carried along; the added names all start with `q_`, and an input column of such a name
-is replaced.
+row each and cost in proportion to their length. Repeated rows are judged apart and alike. An empty table
+gives no rows. Other columns are carried along, whatever their names; only an input column of the same name as
+one that is added (`ADDED`) is replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ NAVIGATION = r"(?i)^\s*(?:home|menu|skip to (?:main )?content|sign in|log ?in|si
 BOILERPLATE = r"(?i)\ball rights reserved\b|\bterms of (?:use|service)\b|\bprivacy policy\b|\bcookies? (?:policy|settings)\b|\benable javascript\b|\blorem ipsum\b"
 
 
+ADDED = ("q_words", "q_word_chars", "q_symbols", "q_dup_lines", "q_repeat_words", "q_base_failed", "q_lost_words", "q_text", "q_kept")
+
+
 @dataclass(frozen=True)
 class LineRules:
     """Limits of the line rules and of what a document may lose.
@@ -65,9 +68,9 @@ def judge(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -
 
     q_text is the text without its failing lines. Windows of words count as equal when their 64-bit hashes are.
     """
-    raw, k = F.coalesce(F.col(text), F.lit("")), rules.window
-    names = [c for c in docs.columns if not c.startswith("q_")]
-    df = docs.select(*[F.col(f"`{c}`") for c in names], raw.alias("q_raw"))
+    raw, k = F.coalesce(F.col(f"`{text}`"), F.lit("")), rules.window
+    kept = {f"c{i}": c for i, c in enumerate(docs.columns) if c not in ADDED}  # inside, input columns have names of their own
+    df = docs.select(*[F.col(f"`{c}`").alias(i) for i, c in kept.items()], raw.alias("q_raw"))
     solid = without(F.col("q_raw"), BLANKS)
     df = df.select(
         "*",
@@ -100,7 +103,7 @@ def judge(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -
     ).drop("q_at", "q_failed")
     failed = (F.col("q_words") < rules.min_words) | (100 * F.col("q_repeat_words") > rules.repeat_percent * F.col("q_words"))
     df = df.select("*", failed.alias("q_base_failed"))
-    return df.select("*", (~F.col("q_base_failed") & (F.col("q_lost_words") <= rules.lost_share * F.col("q_words"))).alias("q_kept")).drop("q_raw")
+    return df.select("*", (~F.col("q_base_failed") & (F.col("q_lost_words") <= rules.lost_share * F.col("q_words"))).alias("q_kept")).select(*[F.col(i).alias(c) for i, c in kept.items()], *ADDED)
 
 
 def clean(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
