@@ -12,7 +12,8 @@ from alternating star joins over these links.
 
 Odd rows: a null or blank text has the fingerprint zero, which links like any other; equal fingerprints are
 one component, whatever their texts; rows of a null key get a fingerprint, and the component of it, but
-never name one; repeated rows each get a row. Very long texts are hashed in pieces.
+never name one; repeated rows each get a row. Very long texts are hashed in pieces. An empty table gives no rows;
+columns other than the key and the text play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -153,20 +154,23 @@ def links(fps: DataFrame, split: int = 50_000) -> DataFrame:
     return dealt.repartition("post", "pair").sortWithinPartitions("post", "pair", "fp").mapInArrow(_walked, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, root): every id in `edges` (a, b) with the smallest id it reaches, by large-star and small-star joins."""
+def components(edges: DataFrame) -> DataFrame:
+    """(id, root): every id in `edges` (a, b) with the smallest id it reaches, by large-star and small-star joins.
+
+    Rounds go on until all that is left are stars: every id has one link down, and to an id that has none. An id with
+    very many links is sent to where these are (`hot_join`).
+    """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    for _ in range(rounds):
-        state = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if state == before or not state[0]:
+    while True:
+        tally = edges.groupBy("u").agg(F.count("*").alias("n")).agg(F.sum("n").alias("links"), F.max("n").alias("most")).first()
+        if (tally["most"] or 0) <= 1 and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
-        before = state
+        links = 2 * tally["links"]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = hot_join(both, least, "u", "n", links).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = hot_join(large, low, "u", "n", links).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = cut(small)
     return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "id")
 
