@@ -1,8 +1,9 @@
-"""Defaults of every stage, as frozen values; a stage takes one of these and nothing is read from files."""
+"""Defaults of every stage, as frozen values; a stage takes one of these. `Config.load` reads other values from a file."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import dataclass, field, fields, replace
 
 
 @dataclass(frozen=True)
@@ -15,7 +16,7 @@ class Cleaning:
     footer_band: float = 28.0
     footer_max_words: int = 8
     known_artifacts: tuple[str, ...] = ("Ü",)
-    noise_patterns: tuple[str, ...] = (r"\d+", r"[\x{ae}eÜ\x{2022}*=\-_/|]+")
+    noise_patterns: tuple[str, ...] = (r"\d+", r"[\x{ae}Ü\x{2022}*=\-_/|]+")
     navigation: tuple[str, ...] = ("available online", "connect with us", "please take a moment", "share with us")
 
 
@@ -37,6 +38,9 @@ class Chunking:
     max_words: int = 300
     overlap_sentences: int = 1
     tiny_words: int = 40
+    # fixed values: shares of terms in common below which a sentence opens something new, alone or with a new paragraph
+    apart: float = 0.08
+    weakly_apart: float = 0.15
     window_words: int = 200
 
 
@@ -88,3 +92,30 @@ class Config:
     validation: Validation = field(default_factory=Validation)
     repair: Repair = field(default_factory=Repair)
     search: Search = field(default_factory=Search)
+
+    @classmethod
+    def of(cls, values: dict) -> Config:
+        """The defaults with the given values, by section and name; lists become tuples, unknown names are errors."""
+        known = {f.name: f for f in fields(cls)}
+        if unknown := set(values) - set(known):
+            raise ValueError(f"no such sections: {sorted(unknown)}")
+        parts = {}
+        for name, given in values.items():
+            part = getattr(cls(), name)
+            if unknown := set(given or {}) - {f.name for f in fields(part)}:
+                raise ValueError(f"no such values in {name}: {sorted(unknown)}")
+            parts[name] = replace(part, **{k: tuple(v) if isinstance(v, list) else v for k, v in (given or {}).items()})
+        return cls(**parts)
+
+    @classmethod
+    def load(cls, path: str) -> Config:
+        """From a YAML or JSON file that the driver can open; YAML needs its library."""
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+        if path.endswith(".json"):
+            return cls.of(json.loads(text))
+        try:
+            import yaml
+        except ImportError as e:
+            raise ImportError("YAML files need the yaml library; JSON files don't") from e
+        return cls.of(yaml.safe_load(text) or {})

@@ -78,6 +78,22 @@ def is_visual_noise(text: Column, fonts: Column, size: Column, x: Column, decora
     return has(banned) | (has(decorative) & (n <= 12)) | ((size >= 13.5) & (n <= 20)) | ((size >= 15) & (x > 300)) | F.contains(text, F.lit("http")) | (hosts >= 2) | ((n <= 8) & (x > 300))
 
 
+def keeps_block(text: Column, margin: Column, visual: Column, bibliography: Column, artifacts: tuple[str, ...] = ()) -> Column:
+    """A block with a text that is in no margin, no visual noise, no bibliography and no known artifact."""
+    flags = [F.coalesce(c, F.lit(False)) for c in (margin, visual, bibliography)]
+    return (F.coalesce(text, F.lit("")) != "") & ~text.isin(*artifacts) & ~(flags[0] | flags[1] | flags[2])
+
+
+def is_lead_in(keeps: Column, size: Column, least: float = 12.5, heading: float = 19.0) -> Column:
+    """A block that is kept and larger than the text but smaller than a heading."""
+    return keeps & (size >= least) & (size < heading)
+
+
+def is_long_enough(content: Column, page: Column, least: int = 80) -> Column:
+    """Contents of at least `least` characters that aren't on the first page (0)."""
+    return (F.length(F.coalesce(content, F.lit(""))) >= least) & (page != 0)
+
+
 def is_page_noise(text: Column, min_y: Column, max_y: Column, size: Column, height: float = 792.0, boilerplate: tuple[str, ...] = ()) -> Column:
     """A year at the top, anything in the bottom margin, bare numbers, small boilerplate."""
     small = F.exists(F.array(*map(F.lit, boilerplate)), lambda b: F.contains(text, b)) & (size < 16) if boilerplate else F.lit(False)

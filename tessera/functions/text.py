@@ -144,19 +144,17 @@ def merge_wrapped(lines: Column) -> Column:
     """Lines joined where the break falls within a sentence; bullets and '#' lines begin anew.
 
     A line's break depends on the end of the line before it and its own start, which holds for joined lines
-    too, since the end of what was joined is that line's.
+    too, since the end of what was joined is that line's. So breaks are marked where they are and the lines joined once.
+    Lines hold no line feeds.
     """
     def joins(prev: Column, line: Column) -> Column:
         wrapped = prev.rlike(r"[a-z,;:\-]\z") & line.rlike(r"\A[a-z(]")
         open_ = ~prev.rlike(r"[.!?:\"']\z") & line.rlike(r"\A[a-z]")
         return ~line.rlike(BULLET) & ~line.startswith("#") & (wrapped | open_)
 
-    def step(acc: Column, line: Column) -> Column:
-        last = F.element_at(acc, -1)
-        more = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat_ws(" ", last, line)))
-        return F.when(F.size(acc) == 0, F.array(line)).when(joins(last, line), more).otherwise(F.concat(acc, F.array(line)))
-
-    return F.aggregate(lines, F.array().cast("array<string>"), step)
+    gap = lambda line, i: F.when(i == 0, F.lit("")).when(joins(F.get(lines, i - 1), line), F.lit(" ")).otherwise(F.lit("\n"))
+    whole = F.array_join(F.transform(lines, lambda line, i: F.concat(gap(line, i), line)), "")
+    return F.when(F.size(lines) == 0, lines).otherwise(F.split(whole, "\n", -1))
 
 
 def clean_paragraph(text: Column) -> Column:

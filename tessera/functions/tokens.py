@@ -12,9 +12,12 @@ STOP_WORDS = (
     "they this those to very was we were what when which will with would you your"
 ).split()
 
-# Words that open a sentence which leans on the one before.
+# Words that open a sentence which leans on the one before, where sections are packed.
 TRANSITIONS = "additionally also consequently furthermore hence however meanwhile moreover nevertheless nonetheless therefore thus".split()
 PRONOUNS = "it its that these they this those".split()
+# The same where documents are split by meaning.
+OPENERS = "also and because but however instead meanwhile moreover otherwise plus so then therefore thus yet".split()
+LIGHT_PRONOUNS = "it its that their them these they this those".split()
 
 
 def raw(text: Column) -> Column:
@@ -63,11 +66,11 @@ def first_word(text: Column) -> Column:
 
 
 def is_transition(text: Column) -> Column:
-    return first_word(text).isin(*TRANSITIONS)
+    return first_word(text).isin(*OPENERS)
 
 
 def is_pronoun(text: Column) -> Column:
-    return first_word(text).isin(*PRONOUNS)
+    return first_word(text).isin(*LIGHT_PRONOUNS)
 
 
 def starts_lower(text: Column) -> Column:

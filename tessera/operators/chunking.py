@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -125,10 +127,10 @@ def _terms(text: str) -> set[str]:
 def _awkward(text: str) -> bool:
     m = re.search(r"[A-Za-z']+", text)
     first, bare = (m.group().lower() if m else ""), text.lstrip('("“')
-    return not text or first in K.TRANSITIONS or bare[:1].islower() or (first in K.PRONOUNS and len(text.split()) <= 12)
+    return not text or first in K.OPENERS or bare[:1].islower() or (first in K.LIGHT_PRONOUNS and len(text.split()) <= 12)
 
 
-def semantic_ranges(units: list[tuple[str, int]], least: int = 80, target: int = 180, most: int = 300, overlap: int = 1) -> list[tuple[int, int]]:
+def semantic_ranges(units: list[tuple[str, int]], least: int = 80, target: int = 180, most: int = 300, overlap: int = 1, c: Chunking = Chunking()) -> list[tuple[int, int]]:
     """[start, end) of chunks over (sentence, paragraph) units.
 
     Past `least` words a chunk ends before `most`; past `target` at a new paragraph or where the next sentence
@@ -136,19 +138,25 @@ def semantic_ranges(units: list[tuple[str, int]], least: int = 80, target: int =
     reached. A chunk starts `overlap` sentences back, moved on past awkward starts, and loses an awkward head
     as long as `least` words stay.
     """
-    words, terms, n = [len(t.split()) for t, _ in units], [_terms(t) for t, _ in units], len(units)
+    words, n = [len(t.split()) for t, _ in units], len(units)
+    upto = [0, *accumulate(words)]
+    terms = cache(lambda i: frozenset(_terms(units[i][0])))  # only those near a possible end are asked for
 
     def split(start: int, end: int) -> bool:
-        size = sum(words[start:end])
+        size = upto[end] - upto[start]
         if size < least:
             return False
-        then = size + words[end]
+        then = upto[end + 1] - upto[start]
         if then > most:
             return True
-        near = set().union(*terms[max(start, end - 3) : end])
-        alike = len(near & terms[end]) / len(near | terms[end]) if near and terms[end] else 0.0
         fresh = units[end][1] != units[end - 1][1]
-        return (size >= target and (fresh or alike < 0.08)) or (fresh and alike < 0.15 and then >= target)
+        if size >= target and fresh:
+            return True
+        if size < target and not (fresh and then >= target):
+            return False
+        near, new = frozenset().union(*map(terms, range(max(start, end - 3), end))), terms(end)
+        alike = len(near & new) / len(near | new) if near and new else 0.0
+        return alike < (c.apart if size >= target else c.weakly_apart)
 
     out, start = [], 0
     while start < n:
@@ -160,7 +168,7 @@ def semantic_ranges(units: list[tuple[str, int]], least: int = 80, target: int =
         while overlap > 0 and at < end - 1 and _awkward(units[at][0]):
             at += 1
         start = at
-    return [(next((s for s in range(a, b) if s == b - 1 or not _awkward(units[s][0]) or sum(words[s + 1 : b]) < least), a), b) for a, b in out]
+    return [(next((s for s in range(a, b) if s == b - 1 or not _awkward(units[s][0]) or upto[b] - upto[s + 1] < least), a), b) for a, b in out]
 
 
 def semantic_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 80, target: int = 180, most: int = 300, overlap: int = 1) -> DataFrame:
@@ -198,7 +206,7 @@ def learn_boilerplate(chunks: DataFrame, r: Repair = Repair(), key: str = "sourc
     return found.where(F.length("line") > 8)
 
 
-def strip_boilerplate(chunks: DataFrame, patterns: DataFrame, keys: list[str], r: Repair = Repair()) -> DataFrame:
+def strip_boilerplate(chunks: DataFrame, patterns: DataFrame, keys: list[str], r: Repair = Repair(), salts: int = 64) -> DataFrame:
     """`chunks` without lines that are nearly a pattern; a chunk that would be empty keeps its longest line.
 
     Only distinct lines meet the patterns, and only those whose length could reach the ratio: a line shares its
@@ -208,7 +216,10 @@ def strip_boilerplate(chunks: DataFrame, patterns: DataFrame, keys: list[str], r
     step = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1))) / 0.25).cast("int")
     distinct = lines.select("bare").where("bare <> ''").distinct().withColumn("step", step("bare"))
     near = patterns.select("line", F.explode(F.array(step("line") - 1, step("line"), step("line") + 1)).alias("step"))
-    bad = distinct.join(near, "step").where(T.fuzzy_ratio(F.col("bare"), F.col("line")) >= r.fuzzy).select("bare").distinct().withColumn("bad", F.lit(True))
+    # there are few steps: lines are dealt over `salts` parts of each, and patterns go to all of these
+    distinct = distinct.withColumn("salt", F.pmod(F.xxhash64("bare"), F.lit(salts)).cast("int"))
+    near = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    bad = distinct.join(near, ["step", "salt"]).where(T.fuzzy_ratio(F.col("bare"), F.col("line")) >= r.fuzzy).select("bare").distinct().withColumn("bad", F.lit(True))
     marked = lines.join(bad, "bare", "left").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "line", F.coalesce("bad", F.lit(False)).alias("bad")))).alias("l"))
     kept = F.transform(F.filter("l", lambda x: ~x["bad"]), lambda x: x["line"])
     longest = F.array_max(F.transform("l", lambda x: F.struct(F.length(x["line"]).alias("n"), (-x["pos"]).alias("p"), x["line"].alias("line"))))["line"]

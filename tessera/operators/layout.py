@@ -23,8 +23,10 @@ BODY_STARTS = (
 
 def repeated_margins(blocks: DataFrame, c: Cleaning = Cleaning()) -> DataFrame:
     """(source_file, norm, header, footer): short texts that recur in the top or bottom margin of a source."""
-    norm = T.match_key(F.col("text"))
-    short = blocks.select("source_file", norm.alias("norm"), (F.col("min_y") < c.margin_top).cast("int").alias("top"), (F.col("max_y") > c.page_height - c.margin_bottom).cast("int").alias("bottom")).where((F.col("norm") != "") & (T.word_count(F.col("norm")) <= c.repeat_max_words))
+    top, bottom = F.coalesce(F.col("min_y") < c.margin_top, F.lit(False)), F.coalesce(F.col("max_y") > c.page_height - c.margin_bottom, F.lit(False))
+    # only blocks that are in a margin count, so only their texts are brought to a form
+    inside = blocks.select("source_file", "text", top.alias("top"), bottom.alias("bottom")).where("top or bottom")
+    short = inside.select("source_file", T.match_key(F.col("text")).alias("norm"), F.col("top").cast("int").alias("top"), F.col("bottom").cast("int").alias("bottom")).where((F.col("norm") != "") & (T.word_count(F.col("norm")) <= c.repeat_max_words))
     seen = short.groupBy("source_file", "norm").agg(F.sum("top").alias("t"), F.sum("bottom").alias("b"))
     return seen.select("source_file", "norm", (F.col("t") >= c.repeat_threshold).alias("header"), (F.col("b") >= c.repeat_threshold).alias("footer")).where("header or footer")
 

@@ -16,17 +16,18 @@ from tessera.functions import tokens as K
 
 
 def ranking(ranked: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, precision, recall, hit_rate, ndcg, mrr) at k; mrr over the whole list. relevant: (query_id, key), external labels.
+    """(query_id, precision, recall, hit_rate, ndcg, mrr) at k; mrr over the whole list. relevant: (query_id, key), external labels, or (key) if they hold for all queries.
 
     Keys are counted once, so recall stays within 1. Queries without relevant keys score 0.
     """
-    rel = relevant.select("query_id", "key").distinct()
-    hit = ranked.join(rel.withColumn("hit", F.lit(1)), ["query_id", "key"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    on = [c for c in ("query_id", "key") if c in relevant.columns]
+    rel = relevant.select(*on).distinct()
+    hit = ranked.join(rel.withColumn("hit", F.lit(1)), on, "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     inside = F.when(F.col("rank") <= k, F.col("hit")).otherwise(0)
     per = hit.groupBy("query_id").agg(F.sum(inside).alias("hits"), F.sum(inside / F.log2(F.col("rank") + 1)).alias("dcg"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"))
-    n = rel.groupBy("query_id").agg(F.count("*").alias("n"))
+    n = rel.groupBy(*on[:-1]).agg(F.count("*").alias("n"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + F.lit(1)))
-    out = per.join(n, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    out = (per.join(n, "query_id", "left") if len(on) == 2 else per.crossJoin(F.broadcast(n))).withColumn("n", F.coalesce("n", F.lit(0)))
     zero = lambda c, v: F.when(c, v).otherwise(F.lit(0.0))
     return out.select("query_id", (F.col("hits") / k).alias("precision"), zero(F.col("n") > 0, F.col("hits") / F.col("n")).alias("recall"), (F.col("hits") > 0).cast("double").alias("hit_rate"), zero(F.col("n") > 0, F.col("dcg") / ideal).alias("ndcg"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"))
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import evaluation, retrieval, structure, tables, texts
+from tessera.plans import answers, evaluation, retrieval, structure, tables, texts
 
-_PARTS = (texts, structure, retrieval, evaluation, tables)
+_PARTS = (texts, structure, retrieval, answers, evaluation, tables)
 QUERIES: dict = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL: dict = {k: v for p in _PARTS for k, v in p.SQL.items()}

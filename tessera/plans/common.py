@@ -33,6 +33,9 @@ LINES = "(SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, ge
 FIRSTS = r"(SELECT doc_id, string_split(text, chr(10))[1] AS heading, regexp_replace(text, '(?s)\A[^\n]*\n?', '') AS content FROM documents)"
 WORDS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda x: x <> '')"
 WINDOWS = f"(SELECT doc_id, i AS \"window\", array_to_string(w[i * 200 + 1 : i * 200 + 200], ' ') AS content, len(w[i * 200 + 1 : i * 200 + 200])::BIGINT AS word_count FROM (SELECT doc_id, w, unnest(range(0, ceil(len(w) / 200.0)::BIGINT)) AS i FROM (SELECT doc_id, {WORDS.format('text')} AS w FROM documents)))"
+# Words of the survey, written out here so that the SQL doesn't read what it checks.
+OPENERS = "('and', 'but', 'because', 'so', 'then', 'therefore', 'however', 'also', 'instead', 'meanwhile', 'moreover', 'otherwise', 'plus', 'yet', 'thus')"
+LIGHT = "('this', 'that', 'these', 'those', 'it', 'they', 'them', 'their', 'its')"
 STOP = "[" + ", ".join(f"'{w}'" for w in K.STOP_WORDS) + "]"
 RAW = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 PLAIN = f"list_filter({RAW}, lambda t: len(t) > 1 AND NOT list_contains({STOP}, t))"

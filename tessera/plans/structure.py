@@ -8,7 +8,7 @@ from tessera.config import Cleaning, Validation
 from tessera.functions import text as T
 from tessera.functions import tokens as K
 from tessera.operators import chunking, layout, validation
-from tessera.plans.common import COUNT, FIRSTS, LINES, STRIP, WINDOWS, WORDS, firsts, lines, table, windows
+from tessera.plans.common import COUNT, FIRSTS, LINES, OPENERS, STRIP, WINDOWS, WORDS, firsts, lines, table, windows
 from tessera.plans.texts import _FLAT, _TOC
 from tessera.sources import readers
 
@@ -35,8 +35,13 @@ def noise_reason_counts(spark, sf_dir):
     return layout.filter_noise(_blocks(spark, sf_dir))[1]
 
 
+#: Pages of contents, which the documents don't have: five lines with page numbers, four of them, the word alone, numbered titles.
+TOC_PROBES = [(p, i, t) for p, lines in enumerate((["First part 1", "Second part 12", "Third, and last part 20-25", "Notes 30", "Index 41"], ["First part 1", "Second part 12", "Notes 30", "Index 41"], ["Table of Contents", "and a line"], ["1 First", "2 Second part", "3 Third", "4 Fourth", "5 A much longer title that has too many words", "6 Sixth"])) for i, t in enumerate(lines)]
+
+
 def toc_pages(spark, sf_dir):
-    return layout.toc_pages(_blocks(spark, sf_dir))
+    own = spark.createDataFrame([("probes", p, i, t) for p, i, t in TOC_PROBES], "source_file string, page_index long, block_index long, text string")
+    return layout.toc_pages(_blocks(spark, sf_dir).select("source_file", "page_index", "block_index", "text").unionByName(own))
 
 
 def body_font(spark, sf_dir):
@@ -200,8 +205,8 @@ _JOINS = r"NOT regexp_matches(line, '^(\s*)([-*•●◦▪▸►‣⁃]|\d+[.)]
 
 SQL = {
     "repeated_margins": f"SELECT * FROM {_MARGINS}",
-    "noise_reason_counts": f"SELECT CASE WHEN coalesce(header, false) THEN 'repeated_header' WHEN coalesce(footer, false) THEN 'repeated_footer' WHEN regexp_full_match(b, '\\d{{1,4}}') THEN 'page_number' WHEN max_y > 764 AND {COUNT.format('b')} <= 8 THEN 'bottom_footer' WHEN b IN ('Ü') THEN 'known_artifact' WHEN regexp_full_match(b, '[®Ü•*=\\-_/|]+') THEN 'symbol_noise' WHEN regexp_full_match(b, '\\d+') OR regexp_full_match(b, '[®eÜ•*=\\-_/|]+') THEN 'noise_pattern' WHEN {_NAV} THEN 'navigation' WHEN {_TOC.format('f')} THEN 'toc_line' ELSE 'kept' END AS reason, count(*) AS blocks FROM (SELECT k.*, {STRIP.format('text')} AS b, {_FLAT.format('text')} AS f, m.header, m.footer FROM (SELECT *, {_NORM} AS norm FROM {_BLOCKS}) k LEFT JOIN {_MARGINS} m USING (source_file, norm)) GROUP BY 1",
-    "toc_pages": f"SELECT source_file, page_index FROM (SELECT *, {_FLAT.format('text')} AS f FROM {_BLOCKS}) GROUP BY 1, 2 HAVING count(*) FILTER (WHERE {_TOC.format('f')}) >= 5 OR bool_or(contains(lower(text), 'contents'))",
+    "noise_reason_counts": f"SELECT CASE WHEN coalesce(header, false) THEN 'repeated_header' WHEN coalesce(footer, false) THEN 'repeated_footer' WHEN regexp_full_match(b, '\\d{{1,4}}') THEN 'page_number' WHEN max_y > 764 AND {COUNT.format('b')} <= 8 THEN 'bottom_footer' WHEN b IN ('Ü') THEN 'known_artifact' WHEN regexp_full_match(b, '[®Ü•*=\\-_/|]+') THEN 'symbol_noise' WHEN regexp_full_match(b, '\\d+') OR regexp_full_match(b, '[®Ü•*=\\-_/|]+') THEN 'noise_pattern' WHEN {_NAV} THEN 'navigation' WHEN {_TOC.format('f')} THEN 'toc_line' ELSE 'kept' END AS reason, count(*) AS blocks FROM (SELECT k.*, {STRIP.format('text')} AS b, {_FLAT.format('text')} AS f, m.header, m.footer FROM (SELECT *, {_NORM} AS norm FROM {_BLOCKS}) k LEFT JOIN {_MARGINS} m USING (source_file, norm)) GROUP BY 1",
+    "toc_pages": f"SELECT source_file, page_index FROM (SELECT *, {_FLAT.format('text')} AS f FROM (SELECT source_file, page_index, text FROM {_BLOCKS} UNION ALL SELECT 'probes', * FROM (VALUES {', '.join(f"({p}, '{t}')" for p, _, t in TOC_PROBES)}) v(page_index, text))) GROUP BY 1, 2 HAVING count(*) FILTER (WHERE {_TOC.format('f')}) >= 5 OR bool_or(contains(lower(text), 'contents'))",
     "body_font": f"SELECT source_file, coalesce(quantile_cont(CASE WHEN {COUNT.format('text')} > 8 THEN CASE WHEN len(text) < 30 THEN 16.0 ELSE 11.0 END END, 0.5), 11.0)::DOUBLE AS body_font FROM {_BLOCKS} GROUP BY 1",
     "repeated_lines": "WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\\A\\s+|\\s+\\z', '', 'g')), lambda x: x <> '') AS l FROM documents), e AS (SELECT l[1] AS line FROM l WHERE len(l) > 0 UNION ALL SELECT l[-1] FROM l WHERE len(l) > 0) SELECT line, count(*) AS n FROM e GROUP BY line HAVING count(*) >= greatest(2, (SELECT floor(count(DISTINCT doc_id) * 0.05) FROM documents)) AND len(line) > 8",
     "wrapped_line_merge": f"WITH p AS (SELECT doc_id, seq, line, lag(line) OVER (PARTITION BY doc_id ORDER BY seq) AS prev FROM {LINES}), g AS (SELECT *, sum(CASE WHEN seq > 0 AND {_JOINS} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY seq) AS grp FROM p), m AS (SELECT doc_id, grp, string_agg(line, ' ' ORDER BY seq) AS l FROM g GROUP BY 1, 2) SELECT doc_id, count(*) AS n_lines, md5(string_agg(l, chr(10) ORDER BY grp)) AS joined_md5 FROM m GROUP BY doc_id",
@@ -211,7 +216,7 @@ SQL = {
     "fixed_windows_200": f"SELECT doc_id, \"window\", word_count, md5(content) AS content_md5 FROM {WINDOWS}",
     "page_windows": f"SELECT d.source AS source_file, w.doc_id AS page_index, 'chunk_' || w.doc_id || '_' || w.\"window\" AS chunk_id, CASE WHEN {COUNT.format('first')} <= 8 THEN first ELSE '' END AS heading, md5(content) AS content_md5 FROM {WINDOWS} w JOIN (SELECT *, {STRIP.format('list_filter(string_split(text, chr(10)), lambda x: trim(x) <> chr(0) AND len(trim(x)) > 0)[1]')} AS first FROM documents WHERE {COUNT.format('text')} >= 15) d USING (doc_id)",
     "chunk_links": f"SELECT doc_id || '_' || \"window\" AS chunk_id, row_number() OVER w AS chunk_index, lag(doc_id || '_' || \"window\") OVER w AS prev_chunk_id, lead(doc_id || '_' || \"window\") OVER w AS next_chunk_id FROM {WINDOWS} WINDOW w AS (PARTITION BY doc_id ORDER BY \"window\")",
-    "split_report": f"SELECT count(*) AS chunks, count(*) FILTER (WHERE {_C} = '') AS empty, count(*) FILTER (WHERE NOT regexp_matches({_C}, '[.!?\"'')]\\z')) AS no_end, count(*) FILTER (WHERE regexp_matches(regexp_replace(content, '\\A[(\"“]+', ''), '\\A\\p{{Ll}}')) AS lower_start, count(*) FILTER (WHERE lower(regexp_extract(content, '[A-Za-z'']+')) IN ({', '.join(repr(w) for w in K.TRANSITIONS)})) AS transition_start, count(*) FILTER (WHERE word_count > 135) AS oversized FROM {WINDOWS}",
+    "split_report": f"SELECT count(*) AS chunks, count(*) FILTER (WHERE {_C} = '') AS empty, count(*) FILTER (WHERE NOT regexp_matches({_C}, '[.!?\"'')]\\z')) AS no_end, count(*) FILTER (WHERE regexp_matches(regexp_replace(content, '\\A[(\"“]+', ''), '\\A\\p{{Ll}}')) AS lower_start, count(*) FILTER (WHERE lower(regexp_extract(content, '[A-Za-z'']+')) IN {OPENERS}) AS transition_start, count(*) FILTER (WHERE word_count > 135) AS oversized FROM {WINDOWS}",
     "renumbered_chunks": f"SELECT 'd' || doc_id AS source_file, \"window\" AS chunk_id, row_number() OVER (ORDER BY 'd' || doc_id, \"window\") AS chunk_seq FROM {WINDOWS}",
     "hierarchy_tree": "SELECT lang AS level1, source AS level2, '(none)' AS level3, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS chunk_ids FROM documents GROUP BY 1, 2",
     "content_quality": f"SELECT doc_id, {_score(_CONT('c'), 'c')} AS score, array_to_string({_issues(_CONT('c'), 'c', 'C001')}, ',') AS issues FROM (SELECT doc_id, {STRIP.format('text')} AS c FROM documents)",

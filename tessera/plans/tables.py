@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from tessera.operators import relational, tuning
 from tessera.plans.common import table
+from tessera.shared import shared_dir
 from tessera.streaming import ingest
 
 
-def _shared(spark):
-    """The folder that all executors share; a new local one where the session names none, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-
-
 def dedup_first(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("text_md5"))
     return relational.first_of(d, ["source", "text_md5"], ["doc_id"])
@@ -85,7 +80,7 @@ def event_windows(spark, sf_dir):
 
 def stream_ingest_equals_batch(spark, sf_dir):
     """Documents ingested as a stream, twice: the second run finds them all and adds none. (A pattern may be one file or a folder.)"""
-    base = f"{_shared(spark)}/ingest-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i in (1, 2):
         stream = ingest.source(spark, f"{sf_dir}/document[s].parquet", docs.schema)
@@ -97,7 +92,7 @@ def stream_rewards(spark, sf_dir):
     """Arms' posteriors from a stream of the events."""
     events = table(spark, sf_dir, "events")
     name = f"rewards_{uuid.uuid4().hex}"
-    base = f"{_shared(spark)}/{name}"
+    base = f"{shared_dir(spark)}/{name}"
     stream = ingest.source(spark, f"{sf_dir}/event[s].parquet", events.schema).withColumn("r", F.col("value") / 100)
     ingest.rewards(stream, "event_type", "r", name, base).awaitTermination()
     return spark.table(name).select("arm", F.round("alpha", 6).alias("alpha"), F.round("beta", 6).alias("beta"), "pulls")

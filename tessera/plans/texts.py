@@ -9,7 +9,7 @@ from tessera.config import Cleaning
 from tessera.functions import predicates as P
 from tessera.functions import text as T
 from tessera.functions import tokens as K
-from tessera.plans.common import COUNT, FIRSTS, LINES, PLAIN, RAW, STEMMED, STRIP, WORDS, firsts, lines, table
+from tessera.plans.common import COUNT, FIRSTS, LIGHT, LINES, OPENERS, PLAIN, RAW, STEMMED, STRIP, WORDS, firsts, lines, table
 
 #: Rows that hold what the synthetic documents don't: merged words, citations, split ligatures.
 PROBES = {
@@ -118,7 +118,7 @@ _IN = lambda ws: "(" + ", ".join(f"'{w}'" for w in ws) + ")"
 
 _SYMBOLS = r"regexp_full_match(b, '[®Ü•*=\-_/|]+')"
 _FLAGS = {
-    "artifacts": r"b IN ('Ü') OR regexp_full_match(b, '\d+') OR regexp_full_match(b, '[®eÜ•*=\-_/|]+')",
+    "artifacts": r"b IN ('Ü') OR regexp_full_match(b, '\d+') OR regexp_full_match(b, '[®Ü•*=\-_/|]+')",
     "toc_lines": _TOC.format("f"),
     "bullets": r"regexp_matches(line, '^\s*[-*•●◦▪▸►‣⁃]\s|^\s*\d+[.)]\s|^\s*[a-zA-Z][.)]\s')",
     "urls": r"regexp_matches(line, '(?i)https?://|www\.|\b\S+\.(?:org|com|edu|gov)\b')",
@@ -146,7 +146,7 @@ SQL = {
     "heading_features": f"SELECT doc_id, round({_UPPER.format('heading')}, 6)::DOUBLE AS upper_ratio, {_TITLE.format('heading')}::BIGINT AS title_words, {COUNT.format('heading')}::BIGINT AS words, (h <> '' AND (h LIKE '#%' OR ({COUNT.format('h')} <= 12 AND NOT regexp_matches(h, '[.!?]\\z') AND ({_UPPER.format('h')} >= 0.6 OR {_TITLE.format('h')} >= greatest(2, {COUNT.format('h')} - 1))))) AS heading_like FROM (SELECT *, replace({_FLAT.format('heading')}, ' .', '.') AS h FROM {FIRSTS})",
     "match_keys": r"SELECT norm, count(*) AS n FROM (SELECT " + STRIP.format(r"regexp_replace(regexp_replace(translate(lower(line), '–—»', '-- '), '[^\p{L}\p{M}\p{N}_\s/-]', ' ', 'g'), '\s+', ' ', 'g')") + f" AS norm FROM {LINES}) GROUP BY norm",
     "line_flags": f"SELECT source, count(*) AS lines, {', '.join(f'count(*) FILTER (WHERE {v}) AS {k}' for k, v in _FLAGS.items())} FROM (SELECT *, {STRIP.format('line')} AS b, {_FLAT.format('line')} AS f, {COUNT.format('line')} AS n FROM {LINES}) GROUP BY source",
-    "start_flags": f"SELECT source, count(*) FILTER (WHERE low) AS lower_start, count(*) FILTER (WHERE tr) AS transition, count(*) FILTER (WHERE pr) AS pronoun, count(*) FILTER (WHERE trim(line) = '' OR tr OR low OR (pr AND n <= 12)) AS awkward, count(*) FILTER (WHERE n <= 5 AND (trim(line) = '' OR regexp_matches(trim(line), '\\A[a-z][a-z,\\s-]*[.,;:!?]?\\z'))) AS orphan FROM (SELECT source, line, {COUNT.format('line')} AS n, regexp_matches(regexp_replace(line, '\\A[(\"“]+', ''), '\\A\\p{{Ll}}') AS low, {_FIRST} IN {_IN(K.TRANSITIONS)} AS tr, {_FIRST} IN {_IN(K.PRONOUNS)} AS pr FROM {LINES}) GROUP BY source",
+    "start_flags": f"SELECT source, count(*) FILTER (WHERE low) AS lower_start, count(*) FILTER (WHERE tr) AS transition, count(*) FILTER (WHERE pr) AS pronoun, count(*) FILTER (WHERE trim(line) = '' OR tr OR low OR (pr AND n <= 12)) AS awkward, count(*) FILTER (WHERE n <= 5 AND (trim(line) = '' OR regexp_matches(trim(line), '\\A[a-z][a-z,\\s-]*[.,;:!?]?\\z'))) AS orphan FROM (SELECT source, line, {COUNT.format('line')} AS n, regexp_matches(regexp_replace(line, '\\A[(\"“]+', ''), '\\A\\p{{Ll}}') AS low, {_FIRST} IN {OPENERS} AS tr, {_FIRST} IN {LIGHT} AS pr FROM {LINES}) GROUP BY source",
     "search_texts": f"SELECT f.doc_id, md5(content || ' ' || heading) AS content_md5, md5(concat_ws(' ', {_PART('heading')}, source, lang, {_PART('content')})) AS all_md5, md5(concat_ws(' > ', source, lang, {_PART('heading')}) || '. ' || content) AS path_md5, md5(concat_ws(chr(10), {_PART('heading')}, source, lang, {_PART('content')})) AS lines_md5, md5(heading || '. ' || content) AS titled_md5 FROM {FIRSTS} f JOIN documents d USING (doc_id)",
     "vignette_flag": "SELECT item_id, len(text) > 250 OR contains(lower(text), 'year-old') AS vignette, len(text) AS chars FROM benchmark",
     "metadata_filter": "SELECT doc_id, lang, source FROM documents WHERE lang IN ('en', 'de') AND source IS NOT DISTINCT FROM 'src1' AND contains(lower(text), 'the')",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,8 +24,8 @@ def insert_absent(stream: DataFrame, path: str, keys: list[str], order: list[str
         spark = batch.sparkSession
         try:
             old = spark.read.schema(schema).parquet(path)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             old = spark.createDataFrame([], schema)
         relational.absent(relational.first_of(batch, keys, order), old, keys).write.mode("append").parquet(path)
