@@ -102,13 +102,7 @@ def context_budget(spark, sf_dir):
 
 
 def prompt_context(spark, sf_dir):
-    got = search.search_sparse(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 3)
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("source_file"), F.left("text", F.lit(350)).alias("content"))
-    return search.assemble(got.join(d, "key").withColumnRenamed("query_id", "question_id")).select("question_id", F.md5("prompt_context").alias("context_md5"))
-
-
-def prompt_context_whole(spark, sf_dir):
-    """prompt_context over whole texts: the budget of `assemble` is the only cut. prompt_context keeps previews of 350 characters, as its SQL does."""
+    """Whole texts of a question's three best documents; the budget of `assemble` is the only cut."""
     got = search.search_sparse(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 3)
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("source_file"), F.col("text").alias("content"))
     return search.assemble(got.join(d, "key").withColumnRenamed("query_id", "question_id")).select("question_id", F.md5("prompt_context").alias("context_md5"))
@@ -167,9 +161,9 @@ SQL = {
     "phrase_boost": f"WITH {_bm25(PLAIN)}, x AS (SELECT query_id, s.doc_id, lower(trim(b.text)) AS q, lower(d2.text) AS t, list_filter({STEMMED.format('b.text')}, lambda t: NOT list_contains([{', '.join(repr(w) for w in K.STOP_WORDS)}], t)) AS toks FROM s JOIN benchmark b ON b.item_id = query_id JOIN documents d2 ON d2.doc_id = s.doc_id WHERE rank <= 50) SELECT query_id, doc_id, round(CASE WHEN q <> '' AND contains(t, q) THEN 2 ELSE 0 END + 0.08 * len(list_filter(toks, lambda k: contains(t, k))) + 0.25 * len(list_filter(['thing', 'ing'], lambda k: list_contains(toks, k) AND contains(t, k))), 6)::DOUBLE AS boost FROM x",
     "rerank_overlap": f"WITH {_bm25(PLAIN)}, t AS (SELECT query_id, s.doc_id, {_TERMS.format(STEMMED.format('b.text'))} AS q, {_TERMS.format(STEMMED.format('d2.text'))} AS c FROM s JOIN benchmark b ON b.item_id = query_id JOIN documents d2 ON d2.doc_id = s.doc_id WHERE rank <= 20), x AS (SELECT query_id, doc_id, CASE WHEN len(q) > 0 THEN len(list_intersect(q, c)) / len(q) ELSE 0 END AS score FROM t), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM x) SELECT query_id, doc_id, round(score, 6)::DOUBLE AS score, rank FROM o WHERE rank <= 5",
     "sibling_context": f"SELECT a.doc_id * 1000 + a.\"window\" AS key, md5(left(string_agg(b.content, chr(10) || chr(10) ORDER BY b.\"window\") FILTER (WHERE b.\"window\" <> a.\"window\"), 800)) AS context_md5, CASE WHEN count(*) > 1 THEN count(*) END AS sibling_count FROM {WINDOWS} a JOIN {WINDOWS} b USING (doc_id) GROUP BY a.doc_id, a.\"window\"",
-    "prompt_context": f"WITH {_bm25(PLAIN)} SELECT query_id AS question_id, md5(left(string_agg('[Source: ' || upper(source[:1]) || source[2:] || ']' || chr(10) || left(text, 350), chr(10) || chr(10) ORDER BY rank), 8500)) AS context_md5 FROM s JOIN documents d2 ON d2.doc_id = s.doc_id WHERE rank <= 3 GROUP BY 1",
+    "prompt_context": f"WITH {_bm25(PLAIN)} SELECT query_id AS question_id, md5(left(string_agg('[Source: ' || upper(source[:1]) || source[2:] || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank), 8500)) AS context_md5 FROM s JOIN documents d2 ON d2.doc_id = s.doc_id WHERE rank <= 3 GROUP BY 1",
     "rule_router": "SELECT item_id, CASE " + " ".join("WHEN len(list_filter([{}], lambda k: contains(lower(text), k))) >= {} THEN {}".format(", ".join(repr(k) for k in ks), n, r) for r, ks, n in RULES) + " END AS rule_id FROM benchmark",
     "rank_probe": f"WITH {_bm25(PLAIN)} SELECT query_id, min(rank) AS rank FROM s JOIN documents d2 ON d2.doc_id = s.doc_id WHERE source = 'src3' AND rank <= 2000 GROUP BY 1",
 }
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered, bm25_stemmed, term_statistics, dense_topk, dense_topk_dim32, dense_filtered, rrf_fusion, minmax_fusion, phrase_boost, rerank_overlap, sibling_context, context_budget, prompt_context, prompt_context_whole, rule_router, rank_probe)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered, bm25_stemmed, term_statistics, dense_topk, dense_topk_dim32, dense_filtered, rrf_fusion, minmax_fusion, phrase_boost, rerank_overlap, sibling_context, context_budget, prompt_context, rule_router, rank_probe)}

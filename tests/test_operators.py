@@ -1,6 +1,8 @@
 """Layout, chunking, validation, search, measures and learning on small fixtures."""
 
 import math
+import random
+import re
 
 import numpy as np
 import pytest
@@ -63,6 +65,54 @@ def test_semantic_ranges_cover():
     assert r[0][0] == 0 and r[-1][1] == 40
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_semantic_ranges_equal_a_plain_version(seed):
+    """The survey's conditions as they stand, every sum and union made anew."""
+    rng = random.Random(seed)
+    opens = "and but because so then therefore however also instead meanwhile moreover otherwise plus yet thus".split()
+    leans = "this that these those it they them their its".split()
+    vocabulary = [f"word{i}" for i in range(12)] + ["And", "They", "lower", "Upper"]
+    units = [(" ".join([rng.choice(["The", "And", "They", "also", "Its"]), *(rng.choice(vocabulary) for _ in range(rng.randint(1, 12)))]) + ".", i // rng.randint(1, 4)) for i in range(rng.randint(0, 90))]
+    least, target, most, overlap = rng.choice([(10, 25, 40, 1), (5, 9, 15, 2), (20, 30, 60, 0)])
+    words = [len(t.split()) for t, _ in units]
+    terms = [chunking._terms(t) for t, _ in units]
+
+    def awkward(t):
+        first = re.search(r"[A-Za-z']+", t).group().lower()
+        return first in opens or t[0].islower() or (first in leans and len(t.split()) <= 12)
+
+    def splits(start, end):
+        size = sum(words[start:end])
+        then = size + words[end]
+        if size >= least and then > most:
+            return True
+        if size < least:
+            return False
+        near = set().union(*terms[max(start, end - 3) : end])
+        alike = len(near & terms[end]) / len(near | terms[end]) if near and terms[end] else 0.0
+        fresh = units[end][1] != units[end - 1][1]
+        return (size >= target and fresh) or (size >= target and alike < 0.08) or (fresh and alike < 0.15 and then >= target)
+
+    want, start = [], 0
+    while start < len(units):
+        end = start + 1
+        while end < len(units) and not splits(start, end):
+            end += 1
+        first = start
+        while first < end - 1 and awkward(units[first][0]) and sum(words[first + 1 : end]) >= least:
+            first += 1
+        want.append((first, end))
+        if end >= len(units):
+            break
+        if overlap <= 0:
+            start = end
+            continue
+        start = max(start + 1, end - overlap)
+        while start < end - 1 and awkward(units[start][0]):
+            start += 1
+    assert chunking.semantic_ranges(units, least, target, most, overlap) == want
+
+
 def test_stitch(spark):
     rows = [("f", 1, "A", None, None, "h", "It goes on and", 1, 1, 4), ("f", 2, "A", None, None, "x", "ends here.", 2, 2, 2), ("f", 3, "B", None, None, "y", "Other.", 3, 3, 1), ("g", 1, "A", None, None, "h", "lower", 1, 1, 1)]
     df = spark.createDataFrame(rows, "source_file string, chunk_id long, level1 string, level2 string, level3 string, heading string, content string, page_start int, page_end int, word_count long")
@@ -118,7 +168,7 @@ def test_rrf_golden(spark):
 def test_dense_blocks_equal_broadcast(spark, sf_dir):
     i = search.build_dense(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), dim=16)
     q = i.where("key < 9").select(F.col("key").alias("query_id"), F.col("vec").alias("qvec"))
-    a, b = (sorted(map(tuple, search.search_dense(i, q, 3, most=m).select("query_id", "key", "rank").collect())) for m in (100, 2))
+    a, b = (sorted(map(tuple, search.search_dense(i, q, 3, most=m).select("query_id", "key", "rank").collect())) for m in (1 << 20, 400))
     assert a == b and len(a) == 27
 
 

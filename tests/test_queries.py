@@ -28,7 +28,7 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_prompt_context_whole_holds_whole_texts(spark, sf_dir):
+def test_prompt_context_holds_whole_texts(spark, sf_dir):
     from hashlib import md5
 
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
@@ -40,4 +40,4 @@ def test_prompt_context_whole_holds_whole_texts(spark, sf_dir):
         whole = "\n\n".join(f"[Source: {d['source'][:1].upper()}{d['source'][1:]}]\n{d['text']}" for d in chosen)
         want[q] = md5(whole[:8500].encode()).hexdigest()
     assert any(len(d["text"]) > 350 for chosen in best.values() for d in chosen)
-    assert {r["question_id"]: r["context_md5"] for r in catalog.QUERIES["prompt_context_whole"](spark, sf_dir).collect()} == want
+    assert {r["question_id"]: r["context_md5"] for r in catalog.QUERIES["prompt_context"](spark, sf_dir).collect()} == want
