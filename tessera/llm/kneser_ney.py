@@ -11,7 +11,8 @@ p(w | v) = max(c(vw) - D, 0) / c(v) + g(v) p(w);  p(w) = max(n(w) - D', 0) / pai
 with n(w) the continuation count, D and D' the three discounts of each order from its counts of counts, and
 g, g' what they leave; the uniform part holds one unseen token. After an unseen token p(w) holds.
 
-Null and blank texts are one end. Rows of a null id don't teach and aren't held out; repeated rows count
+Null and blank texts are one end; very long texts are counted and scored whole; an empty table gives no rows; columns
+other than the key and the text play no part, whatever their names. Rows of a null id don't teach and aren't held out; repeated rows count
 and are scored each. With nothing to learn from every text scores 0.
 """
 
@@ -122,6 +123,8 @@ def _write(folder: str, name: str, *arrays: np.ndarray) -> None:
     store.move(temp, f"{path}/{name}")
 
 
+#: Counts of 32 bits stop here; scores see no difference. Bytes of text that a range of the model comes from.
+LARGEST, RANGE = (1 << 32) - 1, 64 << 20
 PAIR = (("key", "<u8"), ("count", "<u4"))
 TOKEN = (("key", "<u8"), ("count", "<u8"), ("follows", "<u4"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4"))
 
@@ -178,9 +181,12 @@ STATS = ["tokens", "types", "pairs", "p1", "p2", "p3", "p4", "u1", "u2", "u3", "
 
 
 def train(docs: DataFrame, text: str = "text", parts: int | None = None, flush: int = 4_000_000) -> Model:
-    """The model of all rows of `docs`. parts: ranges of hashes, by default the session's shuffle partitions."""
+    """The model of all rows of `docs`. parts: ranges of hashes, by default one for each RANGE bytes of text, and the session's shuffle partitions at least."""
     spark = docs.sparkSession
-    parts = min(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
+    if parts is None:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(f"`{text}`").cast("long")), F.lit(0))).first()[0]
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE))
+    parts = min(parts, 1 << 16)
     folder = fresh_dir(spark, "kneser-ney")
     folder = folder if "://" in folder else "file://" + folder
 
@@ -219,7 +225,7 @@ def train(docs: DataFrame, text: str = "text", parts: int | None = None, flush:
         del vs, ws, cs
         keys = pair_key(v, w)
         by = np.argsort(keys)
-        _write(folder, f"pairs-{p}", keys[by], c[by].astype("<u4"))
+        _write(folder, f"pairs-{p}", keys[by], np.minimum(c[by], LARGEST).astype("<u4"))
         del keys, by
         at = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
         sums = [np.add.reduceat(x.astype(np.int64), at) for x in (c, c == 1, c == 2, c > 2)]
@@ -245,7 +251,7 @@ def train(docs: DataFrame, text: str = "text", parts: int | None = None, flush:
             for col, a in zip(cols, [rest[0], zero, *rest[1:]] if kind == "v" else [zero, rest[0], zero, zero, zero], strict=True):
                 col.append(a)
         (k,), (c, follows, n1, n2, n3) = _sums((np.concatenate(keys),), [np.concatenate(x) for x in cols])
-        _write(folder, f"tokens-{p}", k, c.astype("<u8"), *(x.astype("<u4") for x in (follows, n1, n2, n3)))
+        _write(folder, f"tokens-{p}", k, c.astype("<u8"), *(np.minimum(x, LARGEST).astype("<u4") for x in (follows, n1, n2, n3)))
         real = k != U(START)
         stats = [int(c[real].sum()), int(real.sum()), int(follows.sum()), *(sum(table.column(f"p{i}").to_pylist()) for i in (1, 2, 3, 4)), *(int((follows == i).sum()) for i in (1, 2, 3, 4))]
         return pa.table({n: pa.array([x], pa.int64()) for n, x in zip(STATS, stats, strict=True)})
