@@ -53,3 +53,12 @@ def test_odd_rows(odd):
     assert Counter((r["q_words"], r["q_repeat_words"], r["q_base_failed"]) for r in got) == Counter((b[0], b[4], b[5]) for b in map(brute, (r["text"] for r in rows)))
     kept = quality.clean(odd)
     assert kept.columns == odd.columns and [(r["doc_id"], r["q_text"]) for r in kept.collect()] == [(None, "x")]
+
+
+def test_other_columns_stay_whatever_their_names(spark):
+    df = spark.createDataFrame([("Some words, and a few more of them. " * 9, "mine", "gone", 1)], "`a.text` string, q_mine string, q_text string, c0 int")
+    got = quality.judge(df, text="a.text")
+    assert got.columns == ["a.text", "q_mine", "c0", *quality.ADDED]
+    row = got.first()
+    assert row["q_mine"] == "mine" and row["c0"] == 1 and row["q_text"] == row["a.text"]
+    assert quality.clean(df, text="a.text").columns == df.columns
