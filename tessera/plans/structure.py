@@ -44,6 +44,28 @@ def toc_pages(spark, sf_dir):
     return layout.toc_pages(_blocks(spark, sf_dir).select("source_file", "page_index", "block_index", "text").unionByName(own))
 
 
+def anchored_text(spark, sf_dir):
+    """The text between short lines."""
+    got = layout.between_anchors(_blocks(spark, sf_dir), F.length("text") < 30)
+    return got.select("source_file", F.col("anchor_seq").cast("long").alias("anchor_seq"), "anchor_text", F.md5("content").alias("content_md5"))
+
+
+#: (page, block, text, is a breadcrumb)
+CRUMB_PROBES = [(0, 0, "Home » Part", True), (0, 1, "Home » Care", True), (0, 2, "Care", False), (0, 3, "Part of it", False), (0, 4, "Home » Care at home", True), (0, 5, "Care", False), (1, 0, "Alone", False), (1, 1, "Home » Late", True), (1, 2, "care", False)]
+
+
+def best_breadcrumbs(spark, sf_dir):
+    df = spark.createDataFrame([("s", *r) for r in CRUMB_PROBES], "source_file string, page_index int, block_index int, text string, crumb boolean")
+    return layout.breadcrumb_for(df.where("not crumb").drop("crumb"), df.where("crumb").drop("crumb")).select("page_index", "block_index", "crumb_index", "score")
+
+
+def boilerplate_stripped(spark, sf_dir):
+    """Documents without the lines that recur on many of them, or nearly do."""
+    d = table(spark, sf_dir, "documents").select(F.lit("all").alias("source_file"), F.col("doc_id").alias("page_start"), F.col("text").alias("content"))
+    got = chunking.strip_boilerplate(d, chunking.learn_boilerplate(d), ["page_start"])
+    return got.select(F.col("page_start").alias("doc_id"), F.md5("content").alias("content_md5"))
+
+
 def body_font(spark, sf_dir):
     return layout.body_font(_blocks(spark, sf_dir))
 
@@ -251,4 +273,7 @@ SQL["heading_counts"] = f"""WITH b AS (SELECT source_file, {STRIP.format('text')
     l AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 0 WHEN delta >= 10 THEN 1 WHEN delta >= 5 THEN 2 WHEN delta >= 1.5 THEN 3 WHEN score >= 5 THEN 2 ELSE 0 END AS level FROM s)
     SELECT source_file, level, score >= 4 AS is_heading, coalesce(reason, 'none') AS reason, count(*) AS n, round(sum(score), 6) AS score FROM l GROUP BY source_file, level, score >= 4, coalesce(reason, 'none')"""
 
-QUERIES = {f.__name__: f for f in (repeated_margins, noise_reason_counts, toc_pages, body_font, heading_counts, integer_headings, repeated_lines, wrapped_line_merge, html_blocks, section_ffill, page_sections, fixed_windows_200, page_windows, chunk_links, packed_chunks, semantic_chunks, split_report, stitched_chunks, merged_tiny_chunks, renumbered_chunks, hierarchy_tree, broken_headings, content_quality, heading_quality, quality_summary, issue_counts, worst_chunks, issue_report, source_audit)}
+SQL["anchored_text"] = f"WITH b AS (SELECT source_file, row_number() OVER (PARTITION BY source_file ORDER BY page_index, block_index) AS seq, text FROM {_BLOCKS}), c AS (SELECT *, max(CASE WHEN len(text) < 30 THEN seq END) OVER (PARTITION BY source_file ORDER BY seq) AS start FROM b) SELECT source_file, start AS anchor_seq, max(CASE WHEN seq = start THEN text END) AS anchor_text, md5(coalesce(string_agg(text, ' ' ORDER BY seq) FILTER (WHERE seq <> start), '')) AS content_md5 FROM c WHERE start IS NOT NULL GROUP BY 1, 2"
+SQL["best_breadcrumbs"] = "SELECT * FROM (VALUES (0, 2, 1, 3), (0, 3, 1, 1), (0, 5, 1, 3), (1, 2, 1, 1)) v(page_index, block_index, crumb_index, score)"
+
+QUERIES = {f.__name__: f for f in (repeated_margins, noise_reason_counts, toc_pages, anchored_text, best_breadcrumbs, boilerplate_stripped, body_font, heading_counts, integer_headings, repeated_lines, wrapped_line_merge, html_blocks, section_ffill, page_sections, fixed_windows_200, page_windows, chunk_links, packed_chunks, semantic_chunks, split_report, stitched_chunks, merged_tiny_chunks, renumbered_chunks, hierarchy_tree, broken_headings, content_quality, heading_quality, quality_summary, issue_counts, worst_chunks, issue_report, source_audit)}
