@@ -40,6 +40,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Arrow batches of the session's queries hold `size` bytes at most from here on: a worker has one or two of them, and the JVM another for each of its tasks."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(name))) > size or not re.fullmatch(r"\d+b?", spark.conf.get(name)):
+        spark.conf.set(name, f"{size}b")
+
+
 def slices(batches: Iterator, rows: int = 512) -> Iterator:
     """Arrow batches in pieces of `rows`, so that what a worker makes of them stays small."""
     for b in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, hot_join, slices
+from tessera.llm.common import cut, hot_join, slices, small_batches
 
 BYTES, BITS = 8, 4
 #: Shared positional bytes that a pair within BITS has at least.
@@ -493,6 +493,7 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
             words = [xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(narrow), pa.array(words, pa.binary())], ["key", "fp", "words"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).where("key is not null")
     got = cut(rows.mapInArrow(run, "key long, fp long, words binary"))
     # a row for the same words: copies are one from here on
