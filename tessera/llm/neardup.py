@@ -24,7 +24,6 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, hot_join, slices, small_batches
@@ -463,14 +462,16 @@ def overlap_links(rows: DataFrame, split: int = 1000) -> DataFrame:
     the counts of their cells allow it. Postings above `split` texts are dealt over pairs of blocks.
     """
     alike = lambda a, b: SIM[1] * F.least(a, b) >= SIM[0] * F.greatest(a, b)
-    in_post = W.partitionBy("post")
-    posted = _posts(rows, _late(rows)).withColumn("first", F.min(F.struct("id", "size")).over(in_post)).withColumn("last", F.max("id").over(in_post))
-    met = cut(posted.where(F.col("first.id") < F.col("last")).select("post", "id", "size", "first"))
-    star = cut(met.where(F.col("id") > F.col("first.id")).where(alike(F.col("size"), F.col("first.size"))).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct())
+    posted = cut(_posts(rows, _late(rows)))
+    # postings are summed up where they are before they meet; the sums of hot ones are sent to their rows
+    sums = cut(posted.groupBy("post").agg(F.min("id").alias("first"), F.min_by("size", "id").alias("first_size"), F.max("id").alias("last"), F.count("*").alias("n")).where("first < last"))
+    met = cut(hot_join(posted, sums, "post", "n", posted.count()).select("post", "id", "size", "first", "first_size"))
+    star = cut(met.where("id > first").where(alike(F.col("size"), F.col("first_size"))).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
     found = cut(_verified(_allowed(star, rows, CELLS), rows))
     roots = components(found)
-    named = met.select("post", "id", "size").join(roots, "id", "left").select("post", "id", "size", F.coalesce("root", "id").alias("root"))
-    mixed = named.withColumn("low", F.min("root").over(in_post)).withColumn("high", F.max("root").over(in_post)).withColumn("blocks", F.ceil(F.count("*").over(in_post) / split).cast("int")).where("low < high")
+    named = cut(met.select("post", "id", "size").join(roots, "id", "left").select("post", "id", "size", F.coalesce("root", "id").alias("root")))
+    apart = cut(named.groupBy("post").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("post", "n"))
+    mixed = hot_join(named, apart, "post", "n", named.count()).withColumn("blocks", F.ceil(F.col("n") / split).cast("int"))
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(mine, o) * F.col("blocks") + F.greatest(mine, o))
     mixed = cut(mixed.select("post", F.explode(pair).alias("pair"), "id", "size", "root"))
