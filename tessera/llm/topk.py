@@ -167,10 +167,12 @@ def top_k(vectors: DataFrame, asking: DataFrame, k: int = 5, shard: int = 4096,
     """(asker, query_id, rank, id, score): for each row of `asking` (row, id, w) its k best rows of `vectors` (row, id, w) by inner product.
 
     asker: the asking row's number; the row of `vectors` of that number isn't its candidate. The index is written once; a
-    task reads `span` shards for `block` queries, so queries are dealt out once a span and shards never.
+    task reads `span` shards for up to `block` queries, so queries are dealt out once a span and shards never.
     """
     rows, asked = vectors.count(), asking.count()
-    shards, blocks = max(1, -(-rows // shard)), max(1, -(-asked // block))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    # few queries make small blocks, so that there is a task for each core
+    shards, blocks = max(1, -(-rows // shard)), max(1, -(-asked // block), min(cores, -(-asked // 32)))
     spans, folder = -(-shards // span), fresh_dir(vectors.sparkSession, "postings")
 
     def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -207,6 +209,6 @@ def top_k(vectors: DataFrame, asking: DataFrame, k: int = 5, shard: int = 4096,
     dealt.applyInArrow(build, "shard long").agg(F.count("*")).first()
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spans - 1).cast("long")))
     query = asking.select("row", "id", "w", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).alias("block"), every.alias("span"))
-    hits = query.groupBy("block", "span").applyInArrow(run, "asker long, query_id long, id long, score long")
+    hits = query.repartition(blocks * spans, "block", "span").groupBy("block", "span").applyInArrow(run, "asker long, query_id long, id long, score long")
     best = W.partitionBy("asker").orderBy(F.col("score").desc(), "id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("asker", "query_id", "rank", "id", "score")
