@@ -10,6 +10,8 @@ A posting is walked as a graph, nearest first, so it returns links that join all
 them than fingerprints; postings above `split` fingerprints are dealt over pairs of blocks. Components come
 from alternating star joins over these links.
 
+`near_copies` adds all pairs whose five-word shingles overlap by `SIM` or more, found by prefix filtering and verified.
+
 Odd rows: a null or blank text has the fingerprint zero, which links like any other; equal fingerprints are
 one component, whatever their texts; rows of a null key get a fingerprint, and the component of it, but
 never name one; repeated rows each get a row. Very long texts are hashed in pieces. An empty table gives no rows;
@@ -183,123 +185,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     return hot_join(fps, named, "fp", "n", fps.count()).select("key", "fp", "component")
 
 
-#: Wide fingerprints: 64-bit words, and so bytes and byte triples, all at places of their own; shingles of five words.
-WIDE, WIDE_SHINGLE = 18, 5
-SALTS = np.array([((k + 1) * 0x9E3779B97F4A7C15 ^ 0xD1B54A32D192ED03) & (1 << 64) - 1 for k in range(WIDE)], np.uint64)
-#: Bits of 1152 in which texts of similarity 0.8 differ on the average: by arccos(0.889) / pi.
-WIDE_BITS = 174
-#: Equal bytes of 144 below which no pair is verified; pairs within WIDE_BITS have 39 on the average.
-WIDE_LEAST = 16
-
-
-def wide_fingerprint(text: str | None, seed: int = 42, piece: int = 4096) -> bytes:
-    """A SimHash of 18 words over a text's distinct five-word shingles, so that its angle follows their overlap."""
-    from xxhash import xxh64_intdigest
-
-    words = (text or "").encode().lower().split()
-    if not words:
-        return bytes(8 * WIDE)
-    joined = map(b" ".join, zip(*(words[i:] for i in range(WIDE_SHINGLE)), strict=False)) if len(words) >= WIDE_SHINGLE else (b" ".join(words),)
-    hashes = np.unique(np.fromiter(map(xxh64_intdigest, joined, repeat(seed)), np.uint64))
-    ones = np.zeros(64 * WIDE, np.int64)
-    for i in range(0, len(hashes), piece):
-        x = hashes[i : i + piece, None] ^ SALTS
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(0, dtype=np.int32)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
-
-
-def wide_walk(fps: np.ndarray, ids: np.ndarray) -> tuple[list[int], list[int]]:
-    """`walk` for rows of WIDE words: tally the shared bytes by place, then verify the differing bits."""
-    left, right = [], []
-    rest, rest_ids = fps, ids
-    while len(rest) > 1:
-        edge, edge_ids = [rest[0]], [rest_ids[0]]
-        rest, rest_ids = rest[1:], rest_ids[1:]
-        while edge and len(rest):
-            one, one_id = edge.pop(), edge_ids.pop()
-            apart = rest ^ one
-            near = (apart.view(np.uint8) == 0).sum(1) >= WIDE_LEAST
-            near[near] = np.bitwise_count(apart[near]).sum(1, dtype=np.int64) <= WIDE_BITS
-            if near.any():
-                found = rest_ids[near]
-                left.extend([int(one_id)] * len(found))
-                right.extend(found.tolist())
-                edge.extend(rest[near])
-                edge_ids.extend(found)
-                rest, rest_ids = rest[~near], rest_ids[~near]
-    return left, right
-
-
-def _wide_posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, wide) to a row for each of the fingerprint's byte triples."""
-    for b in slices(batches, 2048):
-        raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WIDE // 3, 3).astype(np.int64)
-        posts = (np.arange(raw.shape[1]) << 24) + (raw[:, :, 0] << 16) + (raw[:, :, 1] << 8) + raw[:, :, 2]
-        ids = np.repeat(b.column(0).to_numpy(), raw.shape[1])
-        yield pa.RecordBatch.from_arrays([pa.array(posts.ravel()), pa.array(ids)], ["post", "id"])
-
-
-def _wide_walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (post, pair, id, wide), each posting's together, to links (a, b)."""
-    held: list[tuple[int, bytes]] = []
-    last = None
-
-    def out():
-        fps = np.frombuffer(b"".join(w for _, w in held), np.uint64).reshape(-1, WIDE)
-        a, b = wide_walk(fps, np.array([i for i, _ in held], np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    for batch in batches:
-        for key, pair, i, wide in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (key, pair) != last:
-                if len(held) > 1:
-                    yield out()
-                held, last = [], (key, pair)
-            held.append((i, wide))
-    if len(held) > 1:
-        yield out()
-
-
-def wide_links(nodes: DataFrame, split: int = 20_000) -> DataFrame:
-    """(a, b): ids of distinct wide fingerprints (columns id, wide) within WIDE_BITS that share a byte triple by place.
-
-    In theory a pair of similarity 0.9 shares one of the 48 triples with a probability of 97 %, one of 0.8 with 61 %.
-    """
-    posted = nodes.select("id", "wide").mapInArrow(_wide_posts, "post long, id long")
-    sizes = posted.groupBy("post").agg(F.count("*").alias("n")).where("n > 1")
-    posted = hot_join(posted, sizes, "post", "n", 8 * WIDE // 3 * nodes.count()).withColumn("blocks", F.ceil(F.col("n") / split).cast("int"))
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(mine, o) * F.col("blocks") + F.greatest(mine, o))
-    dealt = posted.select("post", F.explode(pair).alias("pair"), "id").join(nodes.select("id", "wide"), "id")
-    return dealt.select("post", "pair", "id", "wide").repartition("post", "pair").sortWithinPartitions("post", "pair", "id").mapInArrow(_wide_walked, "a long, b long").distinct()
-
-
-def similar(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, component): components over the links of `near_duplicates` and those of wide fingerprints; approximate, `near_copies` is exact."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            texts = b.column(1).to_pylist()
-            narrow = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(narrow), pa.array([wide_fingerprint(t) for t in texts], pa.binary())], ["key", "fp", "wide"])
-
-    got = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).where("key is not null").mapInArrow(run, "key long, fp long, wide binary")
-    # a row a pair of fingerprints: copies are one from here on
-    nodes = cut(got.groupBy("fp", "wide").agg(F.min("key").alias("id"), F.count("*").alias("n")))
-    rows = cut(got.select("key", F.xxhash64("fp", "wide").alias("node")))
-    narrow = nodes.groupBy("fp").agg(F.min("id").alias("id"))
-    wide = cut(nodes.groupBy("wide").agg(F.min("id").alias("id")))
-    same = nodes.join(narrow.select("fp", F.col("id").alias("b")), "fp").select(F.col("id").alias("a"), "b").unionByName(nodes.join(wide.select("wide", F.col("id").alias("b")), "wide").select(F.col("id").alias("a"), "b"))
-    roots = components(links(narrow).unionByName(wide_links(wide)).unionByName(same))
-    named = nodes.join(roots, "id", "left").select(F.xxhash64("fp", "wide").alias("node"), "n", F.coalesce("root", "id").alias("component"))
-    return hot_join(rows, named, "node", "n", rows.count()).select("key", "component")
-
-
 #: Similarity |A and B| / |A or B| of two texts' distinct five-word shingles from which on they are linked: 4 / 5.
 SIM = (4, 5)
+#: Words of a shingle of the overlap.
+SHINGLE = 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -311,9 +200,9 @@ def shingles(text: str | None, seed: int = 42) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(xxh64_intdigest, words, repeat(seed)), np.uint64, len(words))
-    n = max(1, len(h) - WIDE_SHINGLE + 1)
+    n = max(1, len(h) - SHINGLE + 1)
     x = np.zeros(n, np.uint64)
-    for k in range(min(WIDE_SHINGLE, len(h))):
+    for k in range(min(SHINGLE, len(h))):
         x = (x + h[k : k + n]) * _MIX
     return np.unique(x ^ (x >> np.uint64(32)))
 

@@ -89,46 +89,6 @@ def test_long_chain_of_components(spark):
     assert got == {**{i: 0 for i in range(n + 1)}, 1000: 1000, 1001: 1000} or got == {**{i: 0 for i in range(1, n + 1)}, 1001: 1000}
 
 
-def wide_closure(texts, keys):
-    narrow = brute(texts)
-    wide = np.frombuffer(b"".join(map(neardup.wide_fingerprint, texts)), np.uint64).reshape(-1, neardup.WIDE)
-    raw = wide.view(np.uint8)
-    root = list(range(len(texts)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in range(1, len(texts)):
-        apart = wide[:i] ^ wide[i]
-        same = raw[:i] == raw[i]
-        near = (np.bitwise_count(apart).sum(1) <= neardup.WIDE_BITS) & (same.sum(1) >= neardup.WIDE_LEAST) & same.reshape(i, -1, 3).all(2).any(1)
-        near |= np.array([(narrow[i] ^ narrow[j]).bit_count() <= 4 for j in range(i)])
-        for j in np.flatnonzero(near):
-            a, b = find(i), find(int(j))
-            root[max(a, b)] = min(a, b)
-    return [keys[find(i)] for i in range(len(texts))]
-
-
-def test_similar_equals_brute_force(spark, docs):
-    rows = docs.orderBy("doc_id").collect()
-    w = rows[7]["text"].split()
-    near = [(10_000 + i, " ".join(x if j % 97 != i else f"changed{i}" for j, x in enumerate(w * 3))) for i in range(12)]
-    extra = spark.createDataFrame(near, "doc_id long, text string")
-    every = docs.select("doc_id", "text").unionByName(extra)
-    texts, keys = [r["text"] for r in rows] + [t for _, t in near], [r["doc_id"] for r in rows] + [k for k, _ in near]
-    got = {r["key"]: r["component"] for r in neardup.similar(every).collect()}
-    assert [got[k] for k in keys] == wide_closure(texts, keys)
-    assert len({got[k] for k, _ in near}) < 6
-
-
-def test_wide_splits_agree(spark, docs):
-    nodes = spark.createDataFrame([(r["doc_id"], bytearray(neardup.wide_fingerprint(r["text"]))) for r in docs.collect()] + [(5000 + i, bytearray(neardup.wide_fingerprint("a b c d e f g h i j k l m n o p q r s t u v w x y z " * 3 + str(i)))) for i in range(40)], "id long, wide binary")
-    a, b = ({r["id"]: r["root"] for r in neardup.components(neardup.wide_links(nodes, s)).collect()} for s in (20_000, 5))
-    assert a == b and len(a) >= 40
-
-
 def jaccard_closure(texts, keys):
     """Components of every pair that shares 0.8 of its five-word shingles or is within 4 bits, by brute force over the words themselves."""
     narrow, sets = brute(texts), []
