@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tessera.config import Cleaning, Validation
 from tessera.functions import text as T
-from tessera.functions import tokens as K
 from tessera.operators import chunking, layout, validation
 from tessera.plans.common import COUNT, FIRSTS, LINES, OPENERS, STRIP, WINDOWS, WORDS, firsts, lines, table, windows
 from tessera.plans.texts import _FLAT, _TOC
