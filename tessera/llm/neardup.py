@@ -213,7 +213,9 @@ def prefix(n: int) -> int:
 
 
 def _posts(rows: DataFrame, late: np.ndarray) -> DataFrame:
-    """Rows (key, text) to (post, id, size), a row for each shingle of the prefix; those in `late` (sorted) come last in the order."""
+    """Rows (key, text) to (post, id, size), a row for each shingle of the prefix; those in `late` come last, in the order of `late`."""
+    place = np.argsort(late)
+    known = late[place]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 128):
@@ -221,9 +223,10 @@ def _posts(rows: DataFrame, late: np.ndarray) -> DataFrame:
             for x in b.column(1):
                 h = shingles(x.as_py())
                 n = len(h)
-                if n and len(late):
-                    is_late = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h
-                    h = np.concatenate([h[~is_late], h[is_late]])
+                if n and len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    is_late = known[at] == h
+                    h = np.concatenate([h[~is_late], h[is_late][np.argsort(place[at[is_late]])]])
                 posts.append(h[: prefix(n)])
                 sizes.append(n)
                 counts.append(len(posts[-1]))
@@ -234,10 +237,18 @@ def _posts(rows: DataFrame, late: np.ndarray) -> DataFrame:
 
 
 def _late(rows: DataFrame, one_in: int = 8, least: int = 4, most: int = 50_000) -> np.ndarray:
-    """Frequent shingles by a sample of texts. Any order of shingles is right; with these last, few unlike texts meet."""
-    seen = _posts(rows.where(F.pmod(F.xxhash64("key"), F.lit(one_in)) == 0), np.zeros(0, np.uint64)).groupBy("post").count()
-    got = [r["post"] for r in seen.where(F.col("count") >= least).orderBy(F.desc("count"), "post").limit(most).collect()]
-    return np.sort(np.array(got, np.int64).view(np.uint64))
+    """Frequent shingles by a sample of texts, the rarest first. Any order of shingles is right; with these last, few unlike texts meet.
+
+    All shingles of a text count: what others of its prefix go behind, it's the next ones that come into the prefix.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 32):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(x.as_py()) for x in b.column(0)]).view(np.int64))], ["post"])
+
+    sample = rows.where(F.pmod(F.xxhash64("key"), F.lit(one_in)) == 0).select("text")
+    seen = sample.mapInArrow(run, "post long").groupBy("post").count().where(F.col("count") >= least)
+    return seen.orderBy(F.desc("count"), "post").limit(most).toArrow().column("post").to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
 
 #: Cells that a text's shingles are counted in by hash; texts can't share more in a cell than the smaller count. FINE: for pairs that are left.
@@ -312,10 +323,14 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return both.where((SIM[0] + SIM[1]) * shared >= SIM[0] * (F.size("x") + F.size("y"))).select("a", "b").distinct()
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (post, pair, id, size, root, cells), each posting's together, to pairs (a, b) of different roots that may be similar."""
+def _candidates(batches: Iterator[pa.RecordBatch], most_held: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Rows (post, pair, id, size, root, cells), each posting's together, to pairs (a, b) of different roots that may be similar.
+
+    Near copies meet in many postings: a pair is returned once for as long as it is among the `most_held` that are remembered.
+    """
     held: list[tuple] = []
     last = None
+    told: set[tuple[int, int]] = set()
 
     def out():
         ids, sizes, roots = (np.array(c, np.int64) for c in list(zip(*held, strict=True))[:3])
@@ -329,7 +344,11 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             js = js[((SIM[0] + SIM[1]) * most >= SIM[0] * (n + sizes[js])) | full[i] | full[js]]
             a.append(np.minimum(ids[js], ids[i]))
             b.append(np.maximum(ids[js], ids[i]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+        new = [x for x in dict.fromkeys(zip(np.concatenate(a).tolist(), np.concatenate(b).tolist(), strict=True)) if x not in told]
+        if len(told) + len(new) > most_held:
+            told.clear()
+        told.update(new[:most_held])
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in new], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     for batch in batches:
         for b in slices([batch], 1024):
@@ -343,17 +362,27 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _sums(posted: DataFrame) -> DataFrame:
+    """(post, first, first_size, n): of the postings (post, id, size) with two texts or more one for each set of rows, with its smallest id and its number of rows.
+
+    Sets are told apart by two sums of 36-bit hashes, the number of rows and the first and last id. Postings are summed
+    up where they are before they meet.
+    """
+    held = [F.sum(F.shiftrightunsigned(F.xxhash64(*c), 28)).alias(name) for name, c in (("x", ("id", "size")), ("y", ("size", "id")))]
+    sums = posted.groupBy("post").agg(F.min("id").alias("first"), F.min_by("size", "id").alias("first_size"), F.max("id").alias("last"), F.count("*").alias("n"), *held)
+    return sums.where("first < last").groupBy("first", "last", "n", "x", "y").agg(F.min("post").alias("post"), F.min("first_size").alias("first_size")).select("post", "first", "first_size", "n")
+
+
 def overlap_links(rows: DataFrame, split: int = 1000) -> DataFrame:
     """(a, b): keys of `rows` (key, text), enough of them to join all pairs of similarity SIM or more, and none below it.
 
-    Any such pair has a shingle of both prefixes in common. In each posting the texts are first compared with its
-    smallest key, which joins large groups of near copies; then all pairs that this left in different components, if
-    the counts of their cells allow it. Postings above `split` texts are dealt over pairs of blocks.
+    Any such pair has a shingle of both prefixes in common. Near copies share many, so of postings that hold the same
+    texts one stays (`_sums`). In each the texts are first compared with its smallest key, which joins large groups
+    of near copies; then all pairs that this left in different components, if the counts of their cells allow it. Postings above `split` texts are dealt over pairs of blocks.
     """
     alike = lambda a, b: SIM[1] * F.least(a, b) >= SIM[0] * F.greatest(a, b)
     posted = cut(_posts(rows, _late(rows)))
-    # postings are summed up where they are before they meet; the sums of hot ones are sent to their rows
-    sums = cut(posted.groupBy("post").agg(F.min("id").alias("first"), F.min_by("size", "id").alias("first_size"), F.max("id").alias("last"), F.count("*").alias("n")).where("first < last"))
+    sums = cut(_sums(posted))
     met = cut(hot_join(posted, sums, "post", "n", posted.count()).select("post", "id", "size", "first", "first_size"))
     star = cut(met.where("id > first").where(alike(F.col("size"), F.col("first_size"))).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
     found = cut(_verified(_allowed(star, rows, CELLS), rows))

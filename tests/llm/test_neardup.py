@@ -153,3 +153,33 @@ def test_deduplication_keeps_one_of_each_true_near_copy(docs):
     rows = docs.orderBy("doc_id").collect()
     roots, _ = jaccard_closure([r["text"] for r in rows], [r["doc_id"] for r in rows])
     assert sorted(r["doc_id"] for r in neardup.deduplicated(docs).collect()) == sorted(set(roots))
+
+
+def test_a_pair_that_meets_often_is_a_candidate_once():
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i}" for i in range(200)), " ".join(f"w{i}" for i in range(3, 200))]
+    held = [(k, len(neardup.shingles(t)), k, neardup._cells(neardup.shingles(t), neardup.CELLS)) for k, t in enumerate(texts)]
+    rows = [(post, 0, *x) for post in range(50) for x in held]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("post", "pair", "id", "size", "root", "cells"), r, strict=True)) for r in rows])
+    got = [tuple(r.values()) for b in neardup._candidates(iter([batch])) for r in b.to_pylist()]
+    assert got == [(0, 1)]
+    # forgotten pairs come again, none is lost
+    assert {tuple(r.values()) for b in neardup._candidates(iter([batch]), 0) for r in b.to_pylist()} == {(0, 1)}
+
+
+def test_of_postings_with_the_same_rows_one_stays(spark):
+    sets = [[1, 2], [1, 2], [1, 2, 3], [2, 3], [1, 2, 3], [1, 3, 3, 4], [1, 2, 2, 4], [1, 4], [5], [6, 6]]
+    df = spark.createDataFrame([(p, i, 10 * i) for p, ids in enumerate(sets) for i in ids], "post long, id long, size int")
+    got = sorted(tuple(r) for r in neardup._sums(df).collect())
+    assert got == [(0, 1, 10, 2), (2, 1, 10, 3), (3, 2, 20, 2), (5, 1, 10, 4), (6, 1, 10, 4), (7, 1, 10, 2)]
+
+
+def test_all_shingles_of_a_common_passage_come_last_rarest_first(spark):
+    rng = np.random.default_rng(6)
+    often, seldom = (" ".join(f"{name}{i}" for i in range(30)) for name in ("often", "seldom"))
+    texts = [" ".join([often, f"between{k}", seldom if k < 10 else "", *(f"w{x}" for x in rng.integers(0, 10**6, 60))]) for k in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    got = neardup._late(df, one_in=1)
+    assert len(got) == 52 and set(got[-26:].tolist()) == set(neardup.shingles(often).tolist())
+    assert set(got[:26].tolist()) == set(neardup.shingles(seldom).tolist())
