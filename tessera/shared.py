@@ -25,3 +25,10 @@ def cut(df: DataFrame) -> DataFrame:
     """`df` as it is once written to the shared folder, which survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Arrow batches of the session's queries hold `size` bytes at most from here on."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(name))) > size or not re.fullmatch(r"\d+b?", spark.conf.get(name)):
+        spark.conf.set(name, f"{size}b")

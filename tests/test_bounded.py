@@ -35,3 +35,34 @@ def test_token_similarity_encodes_few_rows_at_a_time(spark):
     wide = adapters.token_similarity_udf(lambda: Few(10**6), batch=10**6)
     want = spark.createDataFrame(rows, "r string, a string").coalesce(1).select(wide("r", "a").alias("s")).select("s.*").collect()
     assert np.allclose(got, want) and len(got) == 600
+
+
+def plain_dense(rows, asked, k):
+    """Pairs one by one; a missing score comes last, ties go to the smaller key."""
+
+    def dot(a, b):
+        return None if a is None or b is None or len(a) != len(b) or None in a or None in b else sum(x * y for x, y in zip(a, b, strict=True))
+
+    out = set()
+    for q, v in asked:
+        scored = sorted(((dot(u, v), key) for key, u in rows), key=lambda x: (x[0] is None, -math.inf if x[0] is None else -round(x[0], 9), x[1]))
+        out |= {(q, key, i + 1, None if score is None else round(score, 6)) for i, (score, key) in enumerate(scored[:k])}
+    return out
+
+
+@pytest.mark.parametrize("names", [False, True])
+def test_dense_pairs_are_never_rows(spark, names):
+    rng = np.random.default_rng(1)
+    vectors = [[float(x) for x in rng.integers(-2, 3, size=4)] for _ in range(300)]  # many ties
+    vectors[5], vectors[6], vectors[7], vectors[8] = None, [1.0, None, 0.0, 1.0], [1.0, 2.0], []
+    rows = [(f"k{i:03d}" if names else i, v) for i, v in enumerate(vectors)]
+    asked = rows[:12] + rows[100:130]
+    kind = "string" if names else "long"
+    index, queries = spark.createDataFrame(rows, f"key {kind}, vec array<double>"), spark.createDataFrame(asked, f"query_id {kind}, qvec array<double>")
+    for k, options in ((7, {}), (7, {"most": 700, "salts": 5}), (299, {}), (400, {})):
+        found = search.search_dense(index, queries, k, **options)
+        text = plan(found)
+        assert "NestedLoopJoin" not in text and "CartesianProduct" not in text and "MergeJoin" not in text and "HashJoin" not in text
+        got = {(r["query_id"], r["key"], r["rank"], None if r["score"] is None else round(r["score"], 6)) for r in found.collect()}
+        assert got == plain_dense(rows, asked, k)
+    assert search.search_dense(index, queries.limit(0), 3).count() == 0 and search.search_dense(index.limit(0), queries, 3).count() == 0
