@@ -66,3 +66,23 @@ def test_dense_pairs_are_never_rows(spark, names):
         got = {(r["query_id"], r["key"], r["rank"], None if r["score"] is None else round(r["score"], 6)) for r in found.collect()}
         assert got == plain_dense(rows, asked, k)
     assert search.search_dense(index, queries.limit(0), 3).count() == 0 and search.search_dense(index.limit(0), queries, 3).count() == 0
+
+
+def test_similarity_stays_in_one_worker(spark, sf_dir):
+    rows = [(f"one {i} text", f"text {i} two" if i % 3 else None) for i in range(100)]
+    near = adapters.similarity_udf(lambda: Few(8), batch=8)
+    got = [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(near("a", "b")).collect()]
+    model = adapters.HashingEmbedder(32)
+    assert got == pytest.approx([float(model.encode([a])[0] @ model.encode([b or ""])[0]) for a, b in rows])
+    for name in ("semantic_quality", "answer_similarity", "faithfulness"):
+        # one worker a task, which gives a number a row, not two that give vectors
+        text = plan(catalog.QUERIES[name](spark, sf_dir))
+        assert text.count("ArrowEvalPython") == 1, text
+
+
+def test_embeddings_come_in_small_batches(spark):
+    rows = [(i, f"text {i}" if i % 7 else None) for i in range(500)]
+    embed = adapters.embedding_udf(lambda: Few(16), prefix="p ", batch=16)
+    got = spark.createDataFrame(rows, "k long, t string").coalesce(1).select("k", embed("t").alias("v")).collect()
+    model = adapters.HashingEmbedder(32)
+    assert [r["k"] for r in got] == list(range(500)) and all(np.allclose(r["v"], model.encode([f"p {t or ''}"])[0]) for r, (_, t) in zip(got, rows, strict=True))
