@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from tessera.config import Chunking, Repair
 from tessera.functions import text as T
 from tessera.functions import tokens as K
+from tessera.shared import small_batches
 
 # Abbreviations after which a full stop ends no sentence.
 ABBREVIATIONS = frozenset("appt approx avg bx dept dr dx e.g etc fig fx hx i.e inc jr max mg min ml mr mrs ms no oz prof pt rx sr st sx tx vol vs".split())
@@ -250,6 +253,40 @@ def healed(heading: Column, content: Column, r: Repair = Repair()) -> tuple[Colu
 STITCHED = "source_file string, chunk_id long, level1 string, level2 string, level3 string, heading string, content string, page_start int, page_end int, word_count long, repair_actions array<string>"
 
 
+def _folded(chunks: DataFrame, step: Callable[[dict | None, dict], bool], schema: str, close: Callable[[dict, int], dict], held: int = 1 << 22) -> DataFrame:
+    """Each source's chunks in order of chunk_id, of which step(a, row) puts a row into the chunk `a` before it, or says that it is one of its own.
+
+    close(a, n) ends the n-th chunk of a source. Sources are dealt over tasks and sorted there, and a worker reads on from row to
+    row: it holds the chunk that may go on and about `held` characters of ended ones, however many sources there are or how long they are.
+    """
+    names = [f.name for f in chunks.schema]
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n, out, size = None, 0, [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                for values in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns), strict=True):
+                    row = dict(zip(names, values, strict=True))
+                    same = last is not None and last["source_file"] == row["source_file"]
+                    if same and step(last, row):
+                        continue
+                    if last is not None:
+                        out.append(close(last, n))
+                        size += 100 + len(last["content"] or "")
+                    last, n = row, n + 1 if same else 1
+                    if size > held:
+                        yield pa.RecordBatch.from_pylist(out, schema=kind)
+                        out, size = [], 0
+        if last is not None:
+            out.append(close(last, n))
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=kind)
+
+    small_batches(chunks.sparkSession)
+    return chunks.repartition("source_file").sortWithinPartitions("source_file", F.col("chunk_id").asc_nulls_last()).mapInArrow(run, schema)
+
+
 def stitch(chunks: DataFrame, r: Repair = Repair()) -> DataFrame:
     """Adjacent chunks of a source joined where a sentence, a small continuation or a level goes on; then renumbered.
 
@@ -266,44 +303,34 @@ def stitch(chunks: DataFrame, r: Repair = Repair()) -> DataFrame:
             return True
         return bool(a["level3"]) and a["level3"] == b["level3"] and y[0].islower()
 
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for row in f.sort_values("chunk_id").astype(object).where(lambda d: d.notna(), None).to_dict("records"):
-            if out and goes_on(out[-1], row):
-                a = out[-1]
-                gap = " " if (a["content"] or "").strip()[-1] not in ".!?:;\"')]" else "\n\n"
-                a["content"] = a["content"].strip() + gap + row["content"].strip()
-                a["page_start"] = min((p for p in (a["page_start"], row["page_start"]) if p is not None), default=None)
-                a["page_end"] = max((p for p in (a["page_end"], row["page_end"]) if p is not None), default=None)
-                a["word_count"] = len(a["content"].split())
-                a["repair_actions"] = [*a["repair_actions"], f"stitched {row['chunk_id']}"]
-            else:
-                out.append({**row, "repair_actions": []})
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in STITCHED.split(", ")])
-        return frame.astype({"page_start": "Int32", "page_end": "Int32"})
+    def step(a: dict, row: dict) -> bool:
+        if not goes_on(a, row):
+            return False
+        gap = " " if (a["content"] or "").strip()[-1] not in ".!?:;\"')]" else "\n\n"
+        a["content"] = a["content"].strip() + gap + row["content"].strip()
+        a["page_start"] = min((p for p in (a["page_start"], row["page_start"]) if p is not None), default=None)
+        a["page_end"] = max((p for p in (a["page_end"], row["page_end"]) if p is not None), default=None)
+        a["word_count"] = len(a["content"].split())
+        a["repair_actions"] = [*a.get("repair_actions", []), f"stitched {row['chunk_id']}"]
+        return True
 
     need = ["source_file", "chunk_id", "level1", "level2", "level3", "heading", "content", "page_start", "page_end", "word_count"]
-    return chunks.select(*need).groupBy("source_file").applyInPandas(fold, STITCHED)
+    return _folded(chunks.select(*need), step, STITCHED, lambda a, n: {"repair_actions": [], **a})
 
 
 def merge_tiny(chunks: DataFrame, c: Chunking = Chunking()) -> DataFrame:
     """Chunks of under `tiny_words` join the chunk before them if heading or level1 agree with its first part's."""
 
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for row in f.sort_values("chunk_id").astype(object).where(lambda d: d.notna(), None).to_dict("records"):
-            a = out[-1] if out else None
-            if a and row["word_count"] < c.tiny_words and (a["heading"] == row["heading"] or a["level1"] == row["level1"]):
-                a["content"] += "\n\n" + row["content"]
-                a["word_count"] = len(a["content"].split())
-            else:
-                out.append(dict(row))
-        frame = pd.DataFrame(out, columns=f.columns)
-        frame["chunk_id"] = range(1, len(frame) + 1)
-        return frame
+    def step(a: dict, row: dict) -> bool:
+        if row["word_count"] >= c.tiny_words or (a["heading"] != row["heading"] and a["level1"] != row["level1"]):
+            return False
+        a["content"] += "\n\n" + row["content"]
+        a["word_count"] = len(a["content"].split())
+        return True
 
     cols = ["source_file", "chunk_id", "level1", "heading", "content", "word_count"]
-    return chunks.select(*cols).groupBy("source_file").applyInPandas(fold, "source_file string, chunk_id long, level1 string, heading string, content string, word_count long")
+    kind = "source_file string, chunk_id long, level1 string, heading string, content string, word_count long"
+    return _folded(chunks.select(*cols), step, kind, lambda a, n: {**a, "chunk_id": n})
 
 
 def renumbered(chunks: DataFrame) -> DataFrame:

@@ -86,3 +86,23 @@ def test_embeddings_come_in_small_batches(spark):
     got = spark.createDataFrame(rows, "k long, t string").coalesce(1).select("k", embed("t").alias("v")).collect()
     model = adapters.HashingEmbedder(32)
     assert [r["k"] for r in got] == list(range(500)) and all(np.allclose(r["v"], model.encode([f"p {t or ''}"])[0]) for r, (_, t) in zip(got, rows, strict=True))
+
+
+def test_chunks_of_many_sources_are_folded_without_a_call_each(spark):
+    rng = random.Random(3)
+    rows = [(f"s{i % 211}", i // 211, rng.choice("AB"), rng.choice("hk"), f"text {i} " + "w " * rng.randint(0, 3), rng.choice([5, 39, 40, 80])) for i in range(2000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "source_file string, chunk_id long, level1 string, heading string, content string, word_count long").repartition(7)
+    want = {}
+    for s, _, one, h, t, n in sorted(rows):
+        out = want.setdefault(s, [])
+        if out and n < 40 and (out[-1][1] == h or out[-1][0] == one):
+            out[-1][2] += "\n\n" + t
+            out[-1][3] = len(out[-1][2].split())
+        else:
+            out.append([one, h, t, n])
+    merged = chunking.merge_tiny(df)
+    assert {(r["source_file"], r["chunk_id"]): [r["level1"], r["heading"], r["content"], r["word_count"]] for r in merged.collect()} == {(s, i + 1): x for s, l in want.items() for i, x in enumerate(l)}
+    stitched = chunking.stitch(df.select("source_file", "chunk_id", "level1", F.lit(None).cast("string").alias("level2"), F.lit(None).cast("string").alias("level3"), "heading", "content", F.lit(None).cast("int").alias("page_start"), F.lit(1).alias("page_end"), "word_count"))
+    assert all("InPandas" not in plan(x) for x in (merged, stitched))
+    assert sum(len(r["repair_actions"]) + 1 for r in stitched.collect()) == 2000 and {r["page_start"] for r in stitched.collect()} == {None}
