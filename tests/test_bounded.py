@@ -106,3 +106,16 @@ def test_chunks_of_many_sources_are_folded_without_a_call_each(spark):
     stitched = chunking.stitch(df.select("source_file", "chunk_id", "level1", F.lit(None).cast("string").alias("level2"), F.lit(None).cast("string").alias("level3"), "heading", "content", F.lit(None).cast("int").alias("page_start"), F.lit(1).alias("page_end"), "word_count"))
     assert all("InPandas" not in plan(x) for x in (merged, stitched))
     assert sum(len(r["repair_actions"]) + 1 for r in stitched.collect()) == 2000 and {r["page_start"] for r in stitched.collect()} == {None}
+
+
+def test_words_of_an_answer_are_split_once(spark):
+    rows = [("a b a c", "b a x"), ("", "x"), (None, None), ("Same  words", "words SAME same"), ("x", "y")]
+    df = spark.createDataFrame(rows, "p string, t string")
+    got = df.select(metrics.token_f1(F.col("p"), F.col("t")).alias("f"), *[metrics.distinct_n(F.col("t"), n).alias(f"d{n}") for n in (1, 2, 3)])
+    for r, (p, t) in zip(got.collect(), rows, strict=True):
+        a, b, w = set((p or "").lower().split()), set((t or "").lower().split()), (t or "").lower().split()
+        grams = [[tuple(w[i : i + n]) for i in range(len(w) - n + 1)] for n in (1, 2, 3)]
+        assert list(r) == pytest.approx([2 * len(a & b) / (len(a) + len(b)) if a & b else 0.0, *(len(set(g)) / len(g) if g else 0.0 for g in grams)])
+    for n in (1, 2):
+        text = df.select(metrics.distinct_n(F.col("t"), n).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("split(") == 1, text
